@@ -67,12 +67,19 @@ class Words:
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of every word's bytes."""
         length = self.end - self.start
-        at = np.cumsum(length) - length
-        rel = np.arange(length.sum()) - np.repeat(at, length)
-        code = _BYTE_CODE[self.data[np.repeat(self.start, length) + rel]]
-        code *= powers(int(length.max(initial=1)))[rel]
-        h = np.add.reduceat(code, at) if len(at) else np.zeros(0, np.uint64)
-        return mix64(h + length.astype(np.uint64) * _MUL)
+        out = np.empty(len(length), np.uint64)
+        done = np.r_[0, np.cumsum(length)]
+        i = 0
+        while i < len(length):  # about a MB of text at a time, or one word
+            j = max(i + 1, int(np.searchsorted(done, done[i] + (1 << 20), "right")) - 1)
+            n = length[i:j]
+            at = done[i:j] - done[i]
+            rel = np.arange(done[j] - done[i]) - np.repeat(at, n)
+            code = _BYTE_CODE[self.data[np.repeat(self.start[i:j], n) + rel]]
+            code *= powers(int(n.max()))[rel]
+            out[i:j] = np.add.reduceat(code, at)
+            i = j
+        return mix64(out + length.astype(np.uint64) * _MUL)
 
 
 def windows(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

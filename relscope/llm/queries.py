@@ -2,19 +2,41 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+from hashlib import sha256
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe
 from .chat_format import format_chats, read_loss, read_turns
 from .ngram_join import near_duplicates
+from .packing import pack
 from .sharding import shard
 from .substring_dedup import dedup_substrings
+from .token_counts import count_tokens
+
+
+def tokenizer(name: str) -> str:
+    """A file of the public tokenizers; RELSCOPE_TOKENIZERS names another folder of them."""
+    folder = os.environ.get("RELSCOPE_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
     out = shard(docs, "doc_id", [1.0] * 16, grown_weight=1.0)
@@ -26,6 +48,27 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = bpe.load(docs, tokenizer("byte_bpe_50k.json"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for ids, flat, at in m.encode_parts(batches):
+            tokens = [flat[a:b].tolist() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    ids,
+                    pa.array([len(t) for t in tokens], pa.int64()),
+                    pa.array([sha256(",".join(map(str, t)).encode()).hexdigest() for t in tokens], pa.string()),
+                    pa.array([sha256(m.decode(t).encode()).hexdigest() for t in tokens], pa.string()),
+                ],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=85)
 
@@ -47,11 +90,19 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), with_ids=False)
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("sequence_id").cast("long").alias("sequence_id"), "offset", "bucket", "slot")
+
+
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_bpe": op4_bpe,
     "op5_ngram_join": op5_ngram_join,
     "op6_chat_format": op6_chat_format,
+    "op10_packing": op10_packing,
 }
 
 ORACLE: dict[str, str] = {
