@@ -10,8 +10,9 @@ region. So the space is cut twice:
   of a single document are nobody's meeting place. Documents that share a pivot are put into one region, joined over
   shared pivots, so no document's shingles travel more than once.
 * Inner regions. In a region, document pivots create Voronoi cells; a document is replicated to each cell whose pivot
-  is no further than its own pivot plus 2 (1 - t), by the triangle inequality; cells are joined recursively, and the
-  smallest ones exactly, pair by pair. Pairs that are already connected are not compared again.
+  is no further than its own pivot plus 2 (1 - t), by the triangle inequality; cells are joined recursively. Small
+  cells, and those that windows do not part, are joined exactly, pair by pair, where the distances to the pivots
+  allow a link. Pairs that are already connected are not compared again.
 
 Regions of more than ``most_in_task`` documents are cut by distributed pivot rounds first: all documents of the region
 are compared with its pivot, and only the rest, with the window of documents that could link to it, goes on.
@@ -205,11 +206,7 @@ class MetricJoin:
             if len(docs) < 2 or (r := self.forest.roots(docs)).min() == r.max():
                 continue
             if len(docs) <= LEAF:
-                for k in range(len(docs) - 1):
-                    rest = docs[k + 1 :]
-                    rest = rest[self.forest.roots(rest) != self.forest.root(int(docs[k]))]
-                    if len(rest):
-                        self.compare(int(docs[k]), rest)
+                self.pairs(docs, np.zeros((0, len(docs))))
                 continue
             pivots = [int(docs[0])]
             far = [self.compare(pivots[0], docs)]
@@ -220,14 +217,19 @@ class MetricJoin:
             home = d.argmin(axis=0)
             inside = d <= d.min(axis=0) + 2 * self.far + 1e-9
             cells = [docs[inside[p] & self._window(d[p], home == p)] for p in range(len(pivots))]
-            if len(pivots) > 1 and max(map(len, cells)) <= 0.8 * len(docs):
+            if len(pivots) > 1 and sum(map(len, cells)) <= 1.5 * len(docs) and max(map(len, cells)) <= 0.8 * len(docs):
                 todo += cells
-                continue
-            # windows that do not part the region: leave the first pivot's ball, but for those near its outside
-            out = d[0] > self.far + 1e-9
-            near = ~out & (d[0] >= (d[0][out].min() if out.any() else 2) - self.far - 1e-9)
-            near[docs == pivots[0]] = False
-            todo.append(docs[out | near])
+            else:  # windows that do not part the region
+                self.pairs(docs, d)
+
+    def pairs(self, docs: np.ndarray, d: np.ndarray) -> None:
+        """Compare all pairs that are not connected yet and whose distances to each pivot differ by 1 - t at most."""
+        for k in range(len(docs) - 1):
+            rest = k + 1 + np.flatnonzero(self.forest.roots(docs[k + 1 :]) != self.forest.root(int(docs[k])))
+            for x in d:
+                rest = rest[np.abs(x[rest] - x[k]) <= self.far + 1e-9]
+            if len(rest):
+                self.compare(int(docs[k]), docs[rest])
 
     def _window(self, d: np.ndarray, at_home: np.ndarray) -> np.ndarray:
         """Only what is at most 1 - t further than the furthest document that lives in the cell can link to it."""

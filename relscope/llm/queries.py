@@ -10,10 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, quality_classifier
+from .ann import nearest
 from .chat_format import format_chats, read_loss, read_turns
 from .ngram_join import near_duplicates
 from .packing import pack
+from .quality_rules import judge
 from .sharding import shard
 from .substring_dedup import dedup_substrings
 from .token_counts import count_tokens
@@ -90,6 +92,18 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"))
+
+
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), with_ids=False)
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("sequence_id").cast("long").alias("sequence_id"), "offset", "bucket", "slot")
@@ -102,6 +116,9 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op5_ngram_join": op5_ngram_join,
     "op6_chat_format": op6_chat_format,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_ann": op9_ann,
     "op10_packing": op10_packing,
 }
 
