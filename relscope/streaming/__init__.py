@@ -1,0 +1,2 @@
+"""The engine has no streaming operators of its own: scopes, sequence operators without windows, and rules lower to
+ordinary DataFrame operations, and apply to a streaming frame where Structured Streaming supports the plan."""
