@@ -25,7 +25,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The documents whose ids are in kept; each id of documents is unique."""
+    """The documents whose ids are in kept. Ids are unique; rows without one go, as nothing can name them."""
     return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
 
 
@@ -51,7 +51,8 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of passages of 50 or more that a smaller document holds; a text without such stays
     as it is, one that loses all its words goes."""
     ship(spark)
-    found = dedup_substrings(docs, window=50).where("n_removed > 0 OR n_words = 0").select("doc_id", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise("").alias("left"))
+    docs = docs.select(*COLUMNS)
+    found = dedup_substrings(docs.where("doc_id IS NOT NULL"), window=50).where("n_removed > 0 OR n_words = 0").select("doc_id", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise("").alias("left"))
     cut = docs.join(found, "doc_id", "left").where("left IS NULL OR left != ''")
     text = F.coalesce("left", "text")
     return cut.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("left").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast("long").alias("n_chars"))

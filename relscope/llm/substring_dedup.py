@@ -104,10 +104,8 @@ def _marks(ids: np.ndarray, words: Words, doc: np.ndarray, pos: np.ndarray, befo
     order = np.argsort(ids, kind="stable")
     if not len(ids) or not len(doc):
         return np.zeros(len(words.start), bool)
-    slot = np.minimum(np.searchsorted(ids, doc, sorter=order), len(ids) - 1)
-    own = order[slot]
-    ok = ids[own] == doc
-    own, pos = own[ok], pos[ok]
+    low, high = (np.searchsorted(ids, doc, side, sorter=order) for side in ("left", "right"))
+    own, pos = order[ragged(low, high - low)], np.repeat(pos, high - low)  # rows that repeat a document share its marks
     first, last = words.first[own], words.first[own + 1]
     step = np.zeros(len(words.start) + 1, np.int32)
     np.add.at(step, np.maximum(first + pos - before, first), 1)
@@ -190,7 +188,8 @@ def dedup_substrings(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """doc_id, n_words, n_removed, kept: each document without the words under any run of ``window`` words whose
     sequence also starts in a document with a smaller doc_id (judged on the input).
 
-    doc_id must be an integer and unique; a null one acts as -1. A null text has no words. Ties cannot happen, as one
+    doc_id must be an integer and name one text; a null one acts as -1. Repeated rows give repeated rows. A null text
+    has no words. Ties cannot happen, as one
     document does not remove its own repeats. Other columns are not read. An empty table gives no rows.
     """
     docs = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("doc_id"), F.col(text).cast("string").alias("text"))
