@@ -298,6 +298,19 @@ def sort(a, desc: bool = False):
     return sort_by(a, lambda x: x, desc)
 
 
+def sort_with(a, compare):
+    """By a comparator of two elements: a column of -1, 0 or 1."""
+    return F.array_sort(a, compare)
+
+
+def random(a):
+    return F.get(F.shuffle(a), F.lit(0))
+
+
+def take_random(a, n: int):
+    return F.slice(F.shuffle(a), 1, n)
+
+
 def reverse(a):
     return F.reverse(a)
 

@@ -243,6 +243,15 @@ def map_join(df: DataFrame, value: Column, joiner: str, order: Cols, by: Cols =
     return df.groupBy(*by).agg(F.array_join(values, joiner).alias(name))
 
 
+def shuffle(df: DataFrame, seed: int | None = None) -> DataFrame:
+    return df.orderBy(F.rand(seed))
+
+
+def take_random(df: DataFrame, n: int, seed: int | None = None) -> DataFrame:
+    """n rows at random, all if there are fewer: a sampling operator."""
+    return df.orderBy(F.rand(seed)).limit(n)
+
+
 def difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """Bag difference: each row of right takes away one equal row of left."""
     return left.exceptAll(right)

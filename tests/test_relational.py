@@ -333,3 +333,10 @@ def test_queries_match_sql(spark, sf):
         want = con.sql(q.ORACLE[name])
         at = [want.columns.index(x) for x in columns]
         assert sorted(map(repr, (tuple(r) for r in df.select(*columns).collect()))) == sorted(repr(tuple(r[i] for i in at)) for r in want.fetchall()), name
+
+
+def test_sampling(spark):
+    assert seq.take_random(spark.range(20), 5).count() == 5 and seq.shuffle(spark.range(7)).count() == 7
+    a = F.array(F.lit(3), F.lit(1), F.lit(2))
+    row = spark.range(1).select(arr.sort_with(a, lambda x, y: y - x).alias("s"), arr.take_random(a, 2).alias("t"), arr.random(a).alias("r")).first()
+    assert row.s == [3, 2, 1] and len(row.t) == 2 and row.r in (1, 2, 3)
