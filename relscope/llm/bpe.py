@@ -62,12 +62,14 @@ def newer_classes(spec: str) -> dict[int, int]:
     return out
 
 
-@cache
-def unknown_chars() -> re.Pattern:
-    """Characters that Python's own tables lack; a library with newer ones may change their case or compose them."""
-    lacking = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn"]
-    cut = np.flatnonzero(np.diff(lacking, prepend=-9, append=0x120000) != 1)
-    return re.compile("[" + "".join(f"{chr(lacking[a])}-{chr(lacking[b - 1])}" for a, b in zip(cut[:-1], cut[1:], strict=True)) + "]")
+def unknown_chars() -> np.ndarray:
+    """Of each code point whether Python's own tables lack it; a library with newer ones may change its case or
+    compose it."""
+    return np.array([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 @cache
@@ -116,6 +118,7 @@ class BpeModel:
         self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.lookup: dict[int, int] | None = None
         self.spec = json.dumps(spec | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": []})
+        self.unknown = unknown_chars() if self.lower else np.zeros(0, bool)
         self.kinds = char_classes().copy()
         for c, kind in newer_classes(self.spec).items():
             self.kinds[c] = kind
@@ -130,7 +133,7 @@ class BpeModel:
         if not self.lower:
             return text
         if not text.isascii():
-            if unknown_chars().search(text):
+            if self.unknown[code_points(text)].any():
                 return library_tokenizer(self.spec).normalizer.normalize_str(text)
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return text.lower()
@@ -188,7 +191,7 @@ class BpeModel:
         """The words of texts; a special token is a word whose bytes are b'\\xff' and its id."""
         pieces, special, first = self.segments(texts)
         joined = "".join(pieces)
-        cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        cp = code_points(joined)
         at = np.r_[0, np.cumsum([len(p) for p in pieces])]
         start = self.cut(cp, at) if len(cp) else np.zeros(0, np.int64)
         end = np.r_[start[1:], len(cp)]
