@@ -14,8 +14,9 @@ region. So the space is cut twice:
   cells, and those that windows do not part, are joined exactly, pair by pair, where the distances to the pivots
   allow a link. Pairs that are already connected are not compared again.
 
-Regions of more than ``most_in_task`` documents are cut by distributed pivot rounds first: all documents of the region
-are compared with its pivot, and only the rest, with the window of documents that could link to it, goes on.
+Regions of more than ``region_size`` documents are cut by distributed pivot rounds first: all documents of the region
+are compared with its pivot, and only the rest, with the window of documents that could link to it, goes on. What
+rounds do not make smaller goes to one task, up to ``most_in_task`` documents.
 Documents with equal sets are one class from the start. Shingles are 56-bit hashes (64 at counting, with the bucket).
 """
 
@@ -119,6 +120,8 @@ def _collect(percent: int):
         order = order[np.argsort(df[order], kind="stable")]
         order = order[np.argsort(doc[order], kind="stable")]
         doc, h = doc[order], h[order]
+        new = np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])] if len(doc) else np.zeros(0, bool)
+        doc, h = doc[new], h[new]  # rows that repeat a document send its shingles again
         by = np.argsort(ids, kind="stable")
         ids, n = ids[by], n[by].astype(np.int64)
         first, last = np.searchsorted(doc, ids), np.searchsorted(doc, ids, "right")
@@ -266,13 +269,15 @@ def _pivot_distance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([*(x.column(c) for c in ("region", "doc_id", "pivot")), pa.array(shared, pa.int64()), x.column("n"), x.column("pivot_n")], names=["region", "doc_id", "pivot", "i", "n", "pivot_n"])
 
 
-def _shrink(regions: DataFrame, sets: DataFrame, percent: int, most: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Cut regions of more than ``most`` documents by pivot rounds: (smaller regions, links found)."""
+def _shrink(regions: DataFrame, sets: DataFrame, percent: int, soft: int, hard: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Cut regions of more than ``soft`` documents by pivot rounds: (smaller regions, links found).
+
+    A region that a round made smaller by less than a tenth goes on only while it has more than ``hard`` documents.
+    """
     links = []
-    while True:
-        big = regions.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("pivot")).where(F.col("size") > most)
-        if big.isEmpty():
-            return regions, links
+    sizes = regions.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("pivot"))
+    big = cut(sizes.where(F.col("size") > soft))
+    while not big.isEmpty():
         pivots = big.join(sets.select(F.col("doc_id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("hashes").alias("pivot_hashes")), "pivot").drop("size")
         rows = regions.join(pivots, "region").join(sets.select("doc_id", "n", "hashes"), "doc_id")
         far = cut(rows.select("region", "doc_id", "pivot", "n", "pivot_n", "hashes", "pivot_hashes").mapInArrow(_pivot_distance, "region long, doc_id long, pivot long, i long, n long, pivot_n long"))
@@ -282,15 +287,18 @@ def _shrink(regions: DataFrame, sets: DataFrame, percent: int, most: int) -> tup
         edge = far.where("NOT linked").groupBy("region").agg(F.min("d").alias("edge"))
         rest = far.join(edge, "region").where(~F.col("linked") | ((F.col("doc_id") != F.col("pivot")) & (F.col("d") >= F.col("edge") - (1 - percent / 100) - 1e-9)))
         regions = cut(regions.join(big.select("region"), "region", "left_anti").unionByName(rest.select("region", "doc_id")))
+        now = regions.join(big.select("region", F.col("size").alias("was")), "region").groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("pivot"), F.first("was").alias("was"))
+        big = cut(now.where((F.col("size") > hard) | ((F.col("size") > soft) & (F.col("size") < 0.9 * F.col("was")))).drop("was"))
+    return regions, links
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, bucket_bytes: int = 8 << 20, most_in_task: int = 20_000) -> DataFrame:
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, bucket_bytes: int = 8 << 20, region_size: int = 20_000, most_in_task: int = 20_000) -> DataFrame:
     """doc_id, n_shingles, component_id for each document: the size of its set of word shingles (A-Z lower-cased; fewer
     words than a shingle count as one) and the smallest doc_id reachable by links of Jaccard similarity of at least
     percent / 100.
 
-    doc_id must be an integer and unique; a null one acts as -1. Null, empty and wordless texts have no shingles and
-    link with nothing. Other columns are not read. An empty table gives no rows.
+    doc_id must be an integer and name one text; a null one acts as -1. Repeated rows give repeated rows. Null, empty
+    and wordless texts have no shingles and link with nothing. Other columns are not read. An empty table gives no rows.
     """
     docs = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("doc_id"), F.col(text).cast("string").alias("text"))
     nb = buckets_for(docs, bucket_bytes)
@@ -306,7 +314,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     meet = cells.join(homes, "cell").where("doc_id != home").select(F.col("doc_id").alias("a"), F.col("home").alias("b"))
     regions = cut(components(meet).select(F.col("component").alias("region"), F.col("node").alias("doc_id")))
     sets = info.where("prefix IS NOT NULL").select("doc_id", "n", "hashes")
-    regions, links = _shrink(regions, sets, percent, most_in_task)
+    regions, links = _shrink(regions, sets, percent, min(region_size, most_in_task), most_in_task)
     packed = regions.join(sets, "doc_id").withColumn("bucket", F.pmod(F.xxhash64("region"), F.lit(nb * 4)))
     inner = packed.groupBy("bucket").applyInArrow(_join_regions(percent), "a long, b long")
     for more in (twins, *links):
