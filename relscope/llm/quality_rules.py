@@ -2,7 +2,7 @@
 
 A text is compressed by zstandard as a whole and in chunks of a fixed size. Very low ratios show repetition, very high
 ones noise. What is normal depends on the length, so each band holds for texts from one length to the next; the chunks
-find a repetitive or noisy part that a long text's mean hides.
+find a repetitive or noisy part that a text's mean hides. Chunks cover every byte: the last one ends where the text ends.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ LEVEL, CHUNK = 3, 4096
 BANDS = ((256, 0.35, 0.85), (512, 0.32, 0.80), (1024, 0.30, 0.72), (2048, 0.28, 0.66), (4096, 0.26, 0.62), (16384, 0.22, 0.58))
 #: the band of a whole chunk
 CHUNK_BAND = (0.15, 0.75)
+#: (bytes from, size of a chunk, its lowest, its highest ratio); shorter texts than the first are checked as a whole only
+CHUNKS = ((512, 256, 0.30, 0.90), (2048, 1024, 0.20, 0.77), (2 * CHUNK, CHUNK, *CHUNK_BAND))
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -84,11 +86,22 @@ def band_of(n: int) -> tuple[float, float]:
     return low, high
 
 
+def chunks_of(n: int) -> tuple[int, float, float]:
+    """The size of a text's chunks (0: none) and their band."""
+    size, low, high = 0, 0.0, np.inf
+    for start, *chunk in CHUNKS:
+        if n >= start:
+            size, low, high = chunk
+    return size, low, high
+
+
 def compression(raw: bytes, pack: zstandard.ZstdCompressor) -> tuple[float, float, float]:
-    """Ratio of the whole text, and the lowest and highest of its full chunks (a ratio of 0 bytes is 1)."""
+    """Ratio of the whole text, and the lowest and highest of its chunks, or of the text if it has none (a ratio of 0
+    bytes is 1). Chunks follow each other; the last one ends where the text ends and may overlap the one before."""
     n = len(raw)
+    size = chunks_of(n)[0]
     whole = len(pack.compress(raw)) / n if n else 1.0
-    parts = [len(pack.compress(raw[i : i + CHUNK])) / CHUNK for i in range(0, n - CHUNK + 1, CHUNK)] if n >= 2 * CHUNK else []
+    parts = [len(pack.compress(raw[i : i + size])) / size for i in [*range(0, n - size, size), n - size]] if size else []
     return whole, min(parts, default=whole), max(parts, default=whole)
 
 
@@ -96,7 +109,7 @@ def judge(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
     """doc_id, the base columns, base_failed, the ratios and kept, for each row.
 
     base_failed: fewer than 50 words, or more than half of the words in 3-word windows that occur again. kept: not
-    base_failed, the whole ratio within the band of the length and the chunks' ratios within theirs. A null text
+    base_failed, the whole ratio within the band of the length and all chunks' ratios within that of their size. A null text
     counts as empty. Rows are judged one by one: ids may repeat or be null. Other columns are not read.
     """
     names = ["doc_id", *NAMES, "base_failed", "ratio", "lowest_chunk", "highest_chunk", "kept"]
@@ -110,8 +123,8 @@ def judge(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
             ratios = np.array([compression(raw[i:j], pack) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]).reshape(-1, 3)
             bands = np.array([band_of(n) for n in np.diff(at).tolist()]).reshape(-1, 2)
             failed = (base["n_words"] < 50) | (100 * base["n_repeat_words"] > 50 * base["n_words"])
-            chunked = np.diff(at) >= 2 * CHUNK
-            good = (ratios[:, 0] >= bands[:, 0]) & (ratios[:, 0] <= bands[:, 1]) & (~chunked | ((ratios[:, 1] >= CHUNK_BAND[0]) & (ratios[:, 2] <= CHUNK_BAND[1])))
+            parts = np.array([chunks_of(n)[1:] for n in np.diff(at).tolist()]).reshape(-1, 2)
+            good = (ratios[:, 0] >= bands[:, 0]) & (ratios[:, 0] <= bands[:, 1]) & (ratios[:, 1] >= parts[:, 0]) & (ratios[:, 2] <= parts[:, 1])
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(base[n].astype(np.int64)) for n in NAMES), pa.array(failed), *(pa.array(ratios[:, k]) for k in range(3)), pa.array(good & ~failed)], names=names)
 
     schema = "doc_id long, " + ", ".join(f"{n} long" for n in NAMES) + ", base_failed boolean, ratio double, lowest_chunk double, highest_chunk double, kept boolean"

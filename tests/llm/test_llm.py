@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, and on nulls, empty and long texts, repeated rows and empty tables."""
 
+import base64
 import collections
 import hashlib
 import random
@@ -299,6 +300,19 @@ def test_quality_rules(spark, texts):
     assert judge(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("size,tail", [(8192, 4000), (8192, 4095), (3000, 1100), (700, 300)])
+def test_quality_rules_at_the_end_of_a_text(spark, size, tail):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    plain = " ".join(r.text for r in judge(d).where("kept").join(d, "doc_id").where("lang = 'en'").orderBy("doc_id").limit(60).collect())
+    good = [plain[i : i + size] for i in range(0, 5 * size, size)]
+    r = random.Random(1)
+    noise = base64.b64encode(r.randbytes(tail)).decode()[:tail]
+    spam = ("buy cheap pills now " * tail)[:tail]
+    rows = judge(docs(spark, good + [g + spam for g in good] + [g + noise for g in good])).collect()
+    kept = {x.doc_id for x in rows if x.kept}
+    assert kept == set(range(len(good)))
+
+
 def test_quality_classifier(spark):
     sf = "/root/testdata/sf0.01"
     out = queries.op7_quality_classifier(spark, sf)
