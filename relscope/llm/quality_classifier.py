@@ -9,13 +9,14 @@ network in numpy gives a logit, and a temperature, fitted on rows that the netwo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ._text import Words, chunks, lower_ascii, mix64, split_words, string_parts
 
@@ -186,8 +187,8 @@ def train(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000, context
     return vectors, fit(x, np.asarray(rows["y"]).astype(np.float64))
 
 
-def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of docs.
+def score(docs: DataFrame, labels: DataFrame, also: Sequence[str] = (), **options) -> DataFrame:
+    """doc_id, held_out, score, predicted for each row of docs, and the row's columns named in also.
 
     Only the text is an input of a score. A null text counts as empty; empty texts have the score of a text without
     words. Without usable labels all scores are 0.5. Ids may repeat or be null (a null one is not held out).
@@ -202,7 +203,9 @@ def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
             else:
                 vectors, net = shared.value
                 s = net.scores(features(vectors, *string_parts(b.column(1)))).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), *(b.column(i) for i in extra)], names=["doc_id", "score", *also])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(docs[c] for c in also if c != "text"))
+    extra = [1 if c == "text" else rows.columns.index(c, 2) for c in also]
+    scored = rows.mapInArrow(run, StructType([*StructType.fromDDL("doc_id long, score double"), *(StructField(c, rows.schema[i].dataType) for c, i in zip(also, extra, strict=True))]))
+    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *also)

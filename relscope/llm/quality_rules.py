@@ -7,12 +7,13 @@ find a repetitive or noisy part that a text's mean hides. Chunks cover every byt
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructField, StructType
 
 from ._text import Words, chunks, split_words, string_parts, windows
 
@@ -105,14 +106,14 @@ def compression(raw: bytes, pack: zstandard.ZstdCompressor) -> tuple[float, floa
     return whole, min(parts, default=whole), max(parts, default=whole)
 
 
-def judge(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, the base columns, base_failed, the ratios and kept, for each row.
+def judge(df: DataFrame, doc_id: str = "doc_id", text: str = "text", also: Sequence[str] = ()) -> DataFrame:
+    """doc_id, the base columns, base_failed, the ratios and kept, for each row, and the row's columns named in also.
 
     base_failed: fewer than 50 words, or more than half of the words in 3-word windows that occur again. kept: not
     base_failed, the whole ratio within the band of the length and all chunks' ratios within that of their size. A null text
     counts as empty. Rows are judged one by one: ids may repeat or be null. Other columns are not read.
     """
-    names = ["doc_id", *NAMES, "base_failed", "ratio", "lowest_chunk", "highest_chunk", "kept"]
+    names = ["doc_id", *NAMES, "base_failed", "ratio", "lowest_chunk", "highest_chunk", "kept", *also]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, write_content_size=False)
@@ -125,7 +126,9 @@ def judge(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
             failed = (base["n_words"] < 50) | (100 * base["n_repeat_words"] > 50 * base["n_words"])
             parts = np.array([chunks_of(n)[1:] for n in np.diff(at).tolist()]).reshape(-1, 2)
             good = (ratios[:, 0] >= bands[:, 0]) & (ratios[:, 0] <= bands[:, 1]) & (ratios[:, 1] >= parts[:, 0]) & (ratios[:, 2] <= parts[:, 1])
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(base[n].astype(np.int64)) for n in NAMES), pa.array(failed), *(pa.array(ratios[:, k]) for k in range(3)), pa.array(good & ~failed)], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(base[n].astype(np.int64)) for n in NAMES), pa.array(failed), *(pa.array(ratios[:, k]) for k in range(3)), pa.array(good & ~failed), *(b.column(i) for i in extra)], names=names)
 
+    rows = df.select(df[doc_id].cast("long").alias("doc_id"), df[text].cast("string").alias("text"), *(df[c] for c in also if c != text))
+    extra = [1 if c == text else rows.columns.index(c, 2) for c in also]
     schema = "doc_id long, " + ", ".join(f"{n} long" for n in NAMES) + ", base_failed boolean, ratio double, lowest_chunk double, highest_chunk double, kept boolean"
-    return df.select(df[doc_id].cast("long").alias("doc_id"), df[text].cast("string").alias("text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, StructType([*StructType.fromDDL(schema), *(StructField(c, rows.schema[i].dataType) for c, i in zip(also, extra, strict=True))]))

@@ -383,3 +383,21 @@ def test_pipeline(spark, sf):
     assert sizes[1] < sizes[0] and sizes[2] < sizes[1] and sizes[3] < sizes[2]
     ids = {r.doc_id for r in out.select("doc_id").collect()}
     assert ids == set(after)
+
+
+def test_pipeline_on_rows_without_an_id(spark, sf):
+    import corpus_pipeline as p
+
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    both = d.unionByName(d.withColumn("doc_id", F.lit(None).cast("long")))
+    kept = p.rules(spark, p.classify(spark, both, sf), sf).collect()
+    assert sorted(r.text for r in kept if r.doc_id is None) == sorted(r.text for r in kept if r.doc_id is not None) != []
+    a, b, c = (" ".join(f"{x}{i}" for i in range(99)) for x in "abc")
+    rows = [(5, a, "en", "x", 1), (6, b, "en", "x", 2), *((None, t, "en", "x", 3) for t in (a, b, c, c))]
+    e = spark.createDataFrame(rows, d.schema).repartition(3)
+    once = [(5, a), (6, b), (None, c)]
+    for stage in (p.near, p.substrings):
+        assert sorted(((r.doc_id, r.text) for r in stage(spark, e, sf).collect()), key=str) == sorted(once, key=str)
+    high = spark.createDataFrame([(2**63 - 2, *rows[0][1:]), *rows[1:]], d.schema)
+    keys = p._keyed(high).collect()
+    assert len({r.key for r in keys}) == 6 and all(r.key == r.doc_id for r in keys if r.doc_id is not None)
