@@ -57,12 +57,14 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest key, see _keyed) of each group of near duplicates: five words,
-    Jaccard 0.8."""
+    """One document (the smallest key, see _keyed) of each group of near duplicates: five words, Jaccard 0.8. Of rows
+    that repeat a doc_id and a text, one stays."""
     ship(spark)
     docs = _keyed(docs)
     kept = near_duplicates(docs, doc_id="key", shingle=5, percent=80).where("doc_id = component_id")
-    return docs.join(kept.select(F.col("doc_id").alias("key")), "key", "left_semi").select(*COLUMNS)
+    left = docs.join(kept.select(F.col("doc_id").alias("key")), "key", "left_semi")
+    copies = Window.partitionBy("key", "text").orderBy("key")
+    return left.withColumn("copy", F.row_number().over(copies)).where("copy = 1").select(*COLUMNS)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,6 +73,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = _keyed(docs)
     found = dedup_substrings(docs, doc_id="key", window=50).where("n_removed > 0 OR n_words = 0").select(F.col("doc_id").alias("key"), F.when(F.col("n_removed") > 0, F.col("kept")).otherwise("").alias("left"))
+    found = found.groupBy("key").agg(F.first("left").alias("left"))  # repeated rows have the same words left
     rest = docs.join(found, "key", "left").where("left IS NULL OR left != ''")
     text = F.coalesce("left", "text")
     return rest.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("left").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast("long").alias("n_chars"))

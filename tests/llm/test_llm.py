@@ -401,3 +401,14 @@ def test_pipeline_on_rows_without_an_id(spark, sf):
     high = spark.createDataFrame([(2**63 - 2, *rows[0][1:]), *rows[1:]], d.schema)
     keys = p._keyed(high).collect()
     assert len({r.key for r in keys}) == 6 and all(r.key == r.doc_id for r in keys if r.doc_id is not None)
+
+
+def test_pipeline_on_repeated_rows(spark, sf):
+    import corpus_pipeline as p
+
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a, "en", "x", 1)] * 3 + [(2, a + " and more of it", "en", "x", 2)] * 3 + [(3, b, "en", "x", 3)] * 2
+    d = spark.createDataFrame(rows, schema).repartition(3)
+    assert sorted((r.doc_id, r.text) for r in p.near(spark, d, sf).collect()) == [(1, a), (3, b)]
+    assert sorted((r.doc_id, r.text) for r in p.substrings(spark, d, sf).collect()) == [(1, a)] * 3 + [(2, "and more of it")] * 3 + [(3, b)] * 2
