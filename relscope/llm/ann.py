@@ -68,14 +68,25 @@ def search_block(rot: Rotation, queries: tuple[np.ndarray, np.ndarray], ids: np.
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
+def distinct_rows(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Where the first of each group of rows with one id and one vector is; ids are sorted."""
+    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    if len(first) == len(ids):
+        return first
+    keep = []
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(ids)], strict=True):
+        keep += [a] if b - a == 1 else {x[i].tobytes(): i for i in range(b - 1, a - 1, -1)}.values()
+    return np.sort(np.array(keep, np.int64))
+
+
 def nearest(df: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = 20, eps: float = 3.0, sample: int = 10_000, block_rows: int = 4096, query_rows: int = 2048) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each query row the k rows with the largest inner products among all
     other rows, nearest first, ties to the smaller vec_id.
 
     The centre is the mean of a sample of ``sample`` vectors (those with the smallest hashes of vec_id); every row is
     indexed. eps widens the error bounds: 3 standard deviations here. Vectors that are null, zero, not of the table's
-    most common length, or that hold null or non-finite components take no part. Rows with one vec_id count as one
-    vector's copies: a query skips all rows with its own id. Blocks of queries meet blocks of the index, so memory is
+    most common length, or that hold null or non-finite components take no part. Rows with one vec_id and one
+    vector count once; a query skips all rows with its own id. Blocks of queries meet blocks of the index, so memory is
     bounded by a pair of blocks. An empty table gives no rows.
     """
     spark = df.sparkSession
@@ -97,7 +108,9 @@ def nearest(df: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str
     def build(table: pa.Table) -> pa.Table:
         table = table.sort_by("vec_id")
         ids = np.asarray(table["vec_id"]).astype(np.int64)
-        x = np.asarray(table["v"].combine_chunks().flatten(), np.float32).reshape(len(ids), d)
+        x = np.asarray(table["v"].combine_chunks().flatten(), np.float32).reshape(len(ids), d) + np.float32(0)  # no -0.0
+        keep = distinct_rows(ids, x)
+        ids, x = ids[keep], x[keep]
         out = []
         for i in range(0, len(ids), block_rows):
             codes, norm, aligned = index.value.encode(x[i : i + block_rows])

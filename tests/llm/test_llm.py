@@ -356,6 +356,14 @@ def test_nearest_neighbours(spark):
     assert len(few) == 4
 
 
+def test_nearest_neighbours_of_repeated_rows(spark):
+    x = np.random.default_rng(1).standard_normal((400, 16)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    find = lambda r: sorted(map(tuple, ann.nearest(spark.createDataFrame(r, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, k=20, block_rows=1200).collect()))
+    got = find(rows * 2 + rows[7:8] * 30)
+    assert len(got) == 20 * 20 and [g[:3] for g in got] == [g[:3] for g in find(rows)]
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as p
 
