@@ -69,10 +69,11 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of passages of 50 or more that a document with a smaller key
-    (see _keyed) holds; a text without such stays as it is, one that loses all its words goes."""
+    (see _keyed) holds; a text without such stays as it is, also a null or wordless one; one that loses
+    all its words goes."""
     ship(spark)
     docs = _keyed(docs)
-    found = dedup_substrings(docs, doc_id="key", window=50).where("n_removed > 0 OR n_words = 0").select(F.col("doc_id").alias("key"), F.when(F.col("n_removed") > 0, F.col("kept")).otherwise("").alias("left"))
+    found = dedup_substrings(docs, doc_id="key", window=50).where("n_removed > 0").select(F.col("doc_id").alias("key"), F.col("kept").alias("left"))
     found = found.groupBy("key").agg(F.first("left").alias("left"))  # repeated rows have the same words left
     rest = docs.join(found, "key", "left").where("left IS NULL OR left != ''")
     text = F.coalesce("left", "text")

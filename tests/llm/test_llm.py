@@ -420,3 +420,11 @@ def test_pipeline_on_repeated_rows(spark, sf):
     d = spark.createDataFrame(rows, schema).repartition(3)
     assert sorted((r.doc_id, r.text) for r in p.near(spark, d, sf).collect()) == [(1, a), (3, b)]
     assert sorted((r.doc_id, r.text) for r in p.substrings(spark, d, sf).collect()) == [(1, a)] * 3 + [(2, "and more of it")] * 3 + [(3, b)] * 2
+
+
+def test_pipeline_keeps_texts_without_words(spark, sf):
+    import corpus_pipeline as p
+
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    rows = [(1, None, "en", "x", None), (2, "", "en", "x", 0), (3, " \n", "en", "x", 2), (4, "a b", "en", "x", 3)]
+    assert sorted(map(tuple, p.substrings(spark, spark.createDataFrame(rows, schema), sf).collect())) == rows
