@@ -24,11 +24,13 @@ def _joined(requests: DataFrame, rows: DataFrame, on: dict[str, str], where: Cal
 def query_all(requests: DataFrame, rows: DataFrame, on: dict[str, str], key: Sequence[str], order: Sequence, limit: int | None = None, offset: int = 0, where: Callable | None = None, null_keys: bool = False, keep_empty: bool = True) -> DataFrame:
     """Each request with its matching rows (prefix r_), in order; at most limit after offset for each request (rank).
 
-    key identifies a request. order: names of row columns, or (name, "desc"). Requests without rows stay with nulls.
+    key identifies a request. order: names of row columns, or (name, "desc"); missing keys come last either way.
+    Requests without rows stay with nulls.
     """
     right, names, cond = _joined(requests, rows, on, where, null_keys)
     found = requests.select(*dict.fromkeys([*key, *on, *requests.columns])).join(right, cond)
-    columns = [F.desc("r_" + o[0]) if isinstance(o, tuple) and o[1] == "desc" else F.asc("r_" + (o[0] if isinstance(o, tuple) else o)) for o in order]
+    keys = [o if isinstance(o, tuple) else (o, "asc") for o in order]
+    columns = [F.desc_nulls_last("r_" + name) if way == "desc" else F.asc_nulls_last("r_" + name) for name, way in keys]
     found = found.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*columns)))
     if offset:
         found = found.where(F.col("rank") > offset)

@@ -7,7 +7,7 @@ Nothing is evaluated in Python; plans/lower.py turns expressions into columns an
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 from pyspark.sql import Column
@@ -149,15 +149,20 @@ class Quantified(Expr):
 
 
 class Collected(Expr):
-    """The rows of a has_many association as an ordered array of values."""
+    """The rows of a has_many association as an ordered array of values, the first ``limit`` if that is given.
 
-    def __init__(self, source: Any, filters: tuple[Callable, ...], mapper: Callable, order: Callable | None = None):
+    order: functions of a row, each with whether it is descending; missing keys come last, ties are in key order.
+    """
+
+    def __init__(self, source: Any, filters: tuple[Callable, ...], mapper: Callable, order: Callable | Sequence[tuple[Callable, bool]] | None = None, limit: int | None = None):
         self.source = source
         self.var = new_var()
         row = Ref(self.var)
         self.pred = conj([wrap(f(row)) for f in filters])
         self.value = wrap(mapper(row))
-        self.order = wrap(order(row)) if order else None
+        keys = [(order, False)] if callable(order) else order or ()
+        self.order = [(wrap(key(row)), desc) for key, desc in keys]
+        self.limit = limit
 
 
 class Scalar(Expr):
@@ -320,7 +325,7 @@ def parts(e: Expr) -> Iterator[Expr]:
     if isinstance(e, Quantified):
         below += [e.pred, *([e.source] if isinstance(e.source, Ref) else [])]
     if isinstance(e, Collected):
-        below += [e.pred, e.value, e.source, *([e.order] if e.order is not None else [])]
+        below += [e.pred, e.value, e.source, *(key for key, _ in e.order)]
     for x in below:
         yield from parts(x)
 

@@ -11,7 +11,7 @@ import itertools
 import warnings
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import NotLoadedError, TranslationError, UnknownFieldError
@@ -125,7 +125,7 @@ class Context:
             return e.fn(*map(self.value, e.args))
         if isinstance(e, Opaque):
             warnings.warn(f"{getattr(e.fn, '__name__', e.fn)} is a plain Python function: it runs row by row", stacklevel=2)
-            return F.udf(e.fn, e.returns)(*map(self.value, e.args))
+            return F.udf(e.fn, e.returns, useArrow=True)(*map(self.value, e.args))
         if isinstance(e, Case):
             out = None
             for c, v in e.branches:
@@ -249,9 +249,10 @@ class Context:
     def inner(self, child: DataFrame, entity: str, prefix: str, var: int) -> Context:
         return replace(self, df=child, rows={var: (entity, prefix)}, joined={})
 
-    def beside(self, child: DataFrame, entity: str, prefix: str, var: int, owner: str | None, link: str | None, pred: Expr) -> tuple[Context, list[Expr]]:
-        """This frame joined with the child's rows: on the link, and on those conditions that need no further joins."""
-        both = self.copy(df=self.df)
+    def beside(self, child: DataFrame, entity: str, prefix: str, var: int, owner: str | None, link: str | None, pred: Expr, once: bool = False) -> tuple[Context, list[Expr]]:
+        """This frame joined with the child's rows: on the link, and on those conditions that need no further joins.
+        once: rows of this frame that repeat a key count as one."""
+        both = self.copy(df=self.df.dropDuplicates(self.key()) if once else self.df)
         both.rows[var] = (entity, prefix)
         on, rest = [], []
         for c in conjuncts(pred):
@@ -262,7 +263,7 @@ class Context:
             cond = cond & both.condition(c)
         if not owner and not any(isinstance(c, Op) and c.name == "==" for c in on):
             warnings.warn("no equality links these rows: all pairs are compared", stacklevel=2)
-        both.df = self.df.join(child, cond, "inner")
+        both.df = both.df.join(child, cond, "inner")
         return both, rest
 
     def plain(self, r: Ref) -> bool:
@@ -284,7 +285,7 @@ class Context:
                 held = held.groupBy(F.col(link).alias(n + "key")).agg(F.count(F.lit(1)).alias(n))
                 self.df = self.df.join(held, F.col(owner) == F.col(n + "key"), "left")
         else:
-            both, rest = self.beside(child, entity, prefix, q.var, owner, link, q.pred)
+            both, rest = self.beside(child, entity, prefix, q.var, owner, link, q.pred, once=q.kind == "count")
             cond = F.lit(True)
             for c in rest:
                 cond = cond & both.condition(c)
@@ -302,7 +303,7 @@ class Context:
         name = fresh("list")
         names = [prefix + k for k in self.catalog.entities[entity].order]
         if self.outer(c.pred, c.var) or self.outer(c.value, c.var) or owner is None:
-            both, rest = self.beside(child, entity, prefix, c.var, owner, link, c.pred)
+            both, rest = self.beside(child, entity, prefix, c.var, owner, link, c.pred, once=True)
             keys = self.key()
         else:
             both, rest = self.inner(child, entity, prefix, c.var), list(conjuncts(c.pred))
@@ -311,8 +312,16 @@ class Context:
         for x in rest:
             cond = cond & both.condition(x)
         value = both.value(c.value)
-        order = [both.value(c.order).alias("o"), *names] if c.order is not None else names
-        held = both.df.where(cond).groupBy(*(F.col(k).alias(name + k) for k in keys)).agg(F.sort_array(F.collect_list(F.struct(*order, value.alias("__v")))).alias(name))
+        rank = name + "rank"
+        sort = [(key.desc_nulls_last if desc else key.asc_nulls_last)() for key, desc in ((both.value(k), desc) for k, desc in c.order)]
+        held = both.df.where(cond)
+        if c.order or c.limit is not None:  # with a limit, each key's rows are cut while they are sorted
+            held = held.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*sort, *(F.asc_nulls_last(n) for n in names))))
+            held = held if c.limit is None else held.where(F.col(rank) <= c.limit)
+            place = F.col(rank)
+        else:
+            place = F.struct(*(x for n in names for x in (F.col(n).isNull().alias(n + "missing"), F.col(n))))
+        held = held.groupBy(*(F.col(k).alias(name + k) for k in keys)).agg(F.sort_array(F.collect_list(F.struct(place.alias("__at"), value.alias("__v")))).alias(name))
         on = F.lit(True)
         for k in keys:
             on = on & (F.col(owner if k == link else k) == F.col(name + k))

@@ -32,6 +32,18 @@ _operator = {name: op for op, names in COMPARISONS.items() for name in names}
 _registry: dict[str, Rules] = {}
 
 
+def order_keys(order: Any) -> list[tuple[Callable, bool]]:
+    """Functions of a row, each with whether it is descending, of a field, ("asc" | "desc", field) or a list of these."""
+    if order is None:
+        return []
+    if isinstance(order, list):
+        return [k for o in order for k in order_keys(o)]
+    way, field = order if isinstance(order, tuple) else ("asc", order)
+    if way not in ("asc", "desc"):
+        raise TranslationError(f"no order: {order!r}")
+    return [(lambda r: r[field], way == "desc")]
+
+
 class Rules:
     """Ordered rules of one entity."""
 
@@ -129,6 +141,13 @@ class Inference:
         row = Ref(s.var)
         return s.with_columns(inferred=Struct({n: self.value(s.entity, ("ref", [n]), row, {}) for n in names}))
 
+    def select(self, source: str | Scope, values: Any) -> DataFrame:
+        """A dict of values by name, as columns; or one value (a predicate's name, a path, any value) as ``value``."""
+        s = self.scope(source)
+        row = Ref(s.var)
+        named = values if isinstance(values, dict) else {"value": ("ref", [values]) if isinstance(values, str) else values}
+        return s.map(**{n: self.value(s.entity, ("ref", [v]) if isinstance(v, str) else v, row, {}) for n, v in named.items()})
+
     def filter(self, source: str | Scope, condition: Any) -> Scope:
         s = self.scope(source)
         return s if condition is True else s.filter(self.condition(s.entity, condition, Ref(s.var), {}))
@@ -297,6 +316,8 @@ class Inference:
             many, target = self.many(entity, rest[0], row)
             if op == "map":
                 cond, mapper = (rest[1], rest[2]) if len(rest) > 2 else (True, rest[1])
+                if isinstance(cond, tuple) and cond and cond[0] == "bind":  # the element, by name
+                    return Collected(many, (lambda r: self.condition(target, cond[2] if len(cond) > 2 else True, r, {}),), lambda r: self.value(entity, mapper, row, {**binds, cond[1]: r}))
                 return Collected(many, (lambda r: self.condition(target, cond, r, {}),), lambda r: self.mapped(target, mapper, r))
             if op == "filter":
                 return Collected(many, (lambda r: self.condition(target, rest[1], r, {}),), lambda r: r)
@@ -351,25 +372,20 @@ class Inference:
         return Collected(row[name], (), lambda r: self.ref(assoc.target, rest, r))
 
     def lookup(self, entity: str, op: str, rest: list, row: Ref, binds: dict[str, Expr]) -> Expr:
-        """("first" | "lookup" | "one", target, {field: value}[, {"order_by": field, "limit": n}]): rows of another entity
-        by values of this row."""
+        """("first" | "lookup" | "one", target, {field: value}[, {"order_by": order, "limit": n}]): rows of another entity
+        by values of this row; order as in order_keys, missing keys last, ties in key order."""
         target, conds, *more = rest
         options = more[0] if more else {}
 
         def matches(r: Ref) -> Expr:
             return conj([self.test(entity, r[k], self._outer(entity, v, row, binds), row, binds) for k, v in conds.items()])
 
-        order = options.get("order_by")
-        desc = isinstance(order, tuple) and order[0] == "desc"
-        field = order[1] if desc else order
-        sort: Callable | None = (lambda r: r[field]) if field else None
-        rows = Collected(self.catalog.scope(target), (matches,), lambda r: r, sort)
-        limit = options.get("limit")
+        limit = {"first": 1, "one": 2}.get(op, options.get("limit"))
+        rows = Collected(self.catalog.scope(target), (matches,), lambda r: r, order_keys(options.get("order_by")), limit)
 
         def pick(a):
-            a = F.reverse(a) if desc else a
             if op == "lookup":
-                return F.slice(a, 1, limit) if limit else a
+                return a
             if op == "one":
                 return F.when(F.size(a) > 1, F.raise_error(F.lit("several rows match a lookup of one"))).otherwise(F.get(a, F.lit(0)))
             return F.get(a, F.lit(0))

@@ -73,7 +73,7 @@ class Scope:
 
     def find(self, fn: Any | None = None, default: dict | None = None) -> DataFrame:
         """The first row, in key order, for which fn holds: a frame of one row, of none, or of the default."""
-        found = (self.filter(fn) if fn is not None else self).df.orderBy(*self.order).limit(1)
+        found = seq.take((self.filter(fn) if fn is not None else self).df, 1, self.order)
         if default is None:
             return found
         spare = self.catalog.spark.createDataFrame([tuple(default.get(c) for c in found.columns)], found.schema)
@@ -149,7 +149,7 @@ class Scope:
         ctx = self.ctx.copy()
         key = ctx.value(self.row(fn))
         key = key.desc_nulls_last() if desc else key.asc_nulls_last()
-        return ctx.df.orderBy(key, *self.order).select(*self.catalog.fields(self.entity))
+        return ctx.df.orderBy(key, *(F.asc_nulls_last(c) for c in self.order)).select(*self.catalog.fields(self.entity))
 
     def take(self, n: int) -> DataFrame:
         return seq.take(self.df, n, self.order)
@@ -182,5 +182,4 @@ class Grouped:
     def to_lists(self, name: str, value: Any) -> DataFrame:
         """The values of each group in key order, as an array."""
         v = self.ctx.value(self.scope.row(value))
-        lists = F.sort_array(F.collect_list(F.struct(*self.scope.order, v.alias("__v"))))
-        return self.ctx.df.groupBy(*(c.alias(n) for n, c in self.keys.items())).agg(F.transform(lists, lambda x: x["__v"]).alias(name))
+        return self.ctx.df.groupBy(*(c.alias(n) for n, c in self.keys.items())).agg(seq.values_in_order(v, self.scope.order).alias(name))

@@ -368,6 +368,60 @@ def with_index_global(c):
     return seq.with_index(c("orders").df, ["o_totalprice", "o_orderkey"], name="i", offset=10).select("o_orderkey", "i")
 
 
+@query("SELECT o_orderkey, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) OVER (ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS total FROM orders")
+def scan_global(c):
+    return seq.scan(c("orders").df, _cents(F.col("o_totalprice")), ["o_orderdate", "o_orderkey"], name="total").select("o_orderkey", "total")
+
+
+@query("SELECT o_orderkey, CAST(sum(new) OVER (ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS run FROM (SELECT *, CASE WHEN o_orderstatus <> lag(o_orderstatus) OVER (ORDER BY o_orderdate, o_orderkey) THEN 1 ELSE 0 END AS new FROM orders)")
+def chunk_by_global(c):
+    return seq.chunk_by(c("orders").df, F.col("o_orderstatus"), ["o_orderdate", "o_orderkey"]).select("o_orderkey", "run")
+
+
+@query("SELECT o_orderkey FROM (SELECT *, lag(o_orderstatus) OVER (ORDER BY o_orderdate, o_orderkey) AS prev FROM orders) WHERE prev IS NULL OR prev <> o_orderstatus")
+def dedup_by_global(c):
+    return seq.dedup_by(c("orders").df, F.col("o_orderstatus"), ["o_orderdate", "o_orderkey"]).select("o_orderkey")
+
+
+@query("SELECT * FROM (SELECT o_orderkey, lag(o_orderkey) OVER (ORDER BY o_orderdate, o_orderkey) AS prev_o_orderkey FROM orders) WHERE prev_o_orderkey IS NOT NULL")
+def zip_previous_global(c):
+    return seq.zip_previous(c("orders").df, ["o_orderkey"], ["o_orderdate", "o_orderkey"]).select("o_orderkey", "prev_o_orderkey")
+
+
+@query("SELECT a.i AS index, n_name || r_name || s_name AS value FROM (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS i FROM nation) a JOIN (SELECT r_name, row_number() OVER (ORDER BY r_regionkey) - 1 AS i FROM region) b ON a.i = b.i JOIN (SELECT s_name, row_number() OVER (ORDER BY s_suppkey) - 1 AS i FROM supplier) c ON a.i = c.i")
+def zip_with_three(c):
+    return seq.zip_with([(c(t).df, [k]) for t, k in (("nation", "n_nationkey"), ("region", "r_regionkey"), ("supplier", "s_suppkey"))], F.concat, ["n_name", "r_name", "s_name"])
+
+
+@query("SELECT sum(a.x * b.y) AS value FROM (SELECT n_nationkey AS x, row_number() OVER (ORDER BY n_name) AS i FROM nation) a JOIN (SELECT r_regionkey AS y, row_number() OVER (ORDER BY r_name) AS i FROM region) b ON a.i = b.i")
+def zip_reduce(c):
+    return seq.zip_reduce([(c("nation").df, ["n_name"]), (c("region").df, ["r_name"])], lambda x, y: x * y, ["n_nationkey", "r_regionkey"])
+
+
+@query("SELECT o_orderkey, round(product(1 + l_tax), 6) AS product FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+def product(c):
+    out = seq.product(c("lineitem").df.withColumnRenamed("l_orderkey", "o_orderkey"), 1 + F.col("l_tax"), ["o_orderkey"])
+    return out.select("o_orderkey", F.round("product", 6).alias("product"))
+
+
+@query(f"SELECT user_id, string_agg(CAST(before + cents AS VARCHAR), ',' ORDER BY ts, event_id) AS totals, CAST(sum(cents) AS BIGINT) AS acc FROM (SELECT *, CAST(round(value * 100) AS BIGINT) AS cents, CAST(coalesce(sum(CAST(round(value * 100) AS BIGINT)) {W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM events) GROUP BY user_id")
+def map_reduce(c):
+    out = seq.map_reduce(events(c), _cents(F.col("value")), F.lit(0).cast("long"), lambda x, acc: acc + x, lambda x, acc: acc + x, ORD, BY)
+    return out.select("user_id", F.array_join(F.transform("value", lambda x: x.cast("string")), ",").alias("totals"), "acc")
+
+
+@query("SELECT user_id, count(*) * 2 AS n, count(*) AS acc FROM events GROUP BY user_id")
+def flat_map_reduce(c):
+    out = seq.flat_map_reduce(events(c), F.col("event_type"), F.lit(0).cast("long"), lambda x, acc: F.array(x, x), lambda x, acc: acc + 1, ORD, BY)
+    return out.select("user_id", F.size("value").cast("long").alias("n"), "acc")
+
+
+@query(f"SELECT user_id, CAST(i // 3 AS INTEGER) AS index, string_agg(event_type, ',' ORDER BY i) AS kinds FROM {RN} GROUP BY user_id, i // 3")
+def chunk_while(c):
+    out = seq.chunk_while(events(c), F.col("event_type"), lambda now: F.size(now) == 3, ORD, BY)
+    return out.select("user_id", "index", F.array_join("chunk", ",").alias("kinds"))
+
+
 @query(f"SELECT event_id, CASE WHEN i % 3 = 0 THEN upper(event_type) ELSE event_type END AS event_type FROM {RN}")
 def map_every(c):
     return seq.map_every(events(c), 3, "event_type", F.upper("event_type"), ORD, BY).select("event_id", "event_type")
@@ -634,6 +688,19 @@ def rule_map(c):
     return out.select("n_nationkey", F.array_join(F.transform("suppliers_", lambda x: x.cast("string")), ",").alias("suppliers"))
 
 
+@query("SELECT n_nationkey, string_agg(n_name || ':' || c_custkey, ',' ORDER BY c_custkey) AS people FROM nation JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 9000 GROUP BY n_nationkey")
+def rule_map_bind(c):
+    r = Rules("nation").infer(people=("map", "customers", ("bind", "who", {"c_acctbal": ("gt", 9000)}), ("call", "concat", ("ref", "n_name"), ":", ("bound", "who", ["c_custkey"]))))
+    out = Inference(c, r).load("nation", "people").where(F.size("people") > 0)
+    return out.select("n_nationkey", F.array_join("people", ",").alias("people"))
+
+
+@query("SELECT c_custkey AS id, n_name AS nation, CASE WHEN c_acctbal < 0 THEN 'debt' ELSE 'fine' END AS state FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def rule_select(c):
+    r = Rules("customer").infer({"c_acctbal": ("lt", 0)}, state="debt").infer(state="fine")
+    return Inference(c, r).select("customer", {"id": "c_custkey", "nation": ("ref", ["nation", "n_name"]), "state": "state"})
+
+
 @query("SELECT o_orderkey, coalesce(count(l_partkey), 0) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity >= 30 GROUP BY o_orderkey")
 def rule_filter(c):
     r = Rules("orders").infer(large=("filter", "lines", {"l_quantity": ("gte", 30)}))
@@ -674,6 +741,34 @@ def rule_query_first(c):
     return Inference(c, r).load("customer", "last")
 
 
+@query("SELECT c_custkey, (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey LIMIT 1) AS first FROM customer")
+def rule_query_first_orders(c):
+    r = Rules("customer").infer(first=("call", lambda s: s["o_orderkey"], ("first", "orders", {"o_custkey": ("ref", "c_custkey")}, {"order_by": [("asc", "o_orderpriority"), ("desc", "o_totalprice")]})))
+    return Inference(c, r).load("customer", "first")
+
+
+@query("SELECT c_custkey, (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY CASE WHEN o_totalprice > 100000 THEN o_totalprice END NULLS LAST, o_orderkey LIMIT 1) AS a, (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY CASE WHEN o_totalprice > 100000 THEN o_totalprice END DESC NULLS LAST, o_orderkey LIMIT 1) AS b FROM customer")
+def query_first_null_order(c):
+    rows = c("orders").df.withColumn("large", F.when(F.col("o_totalprice") > 100000, F.col("o_totalprice")))
+    first = lambda df, order, name: lookup.query_first(df, rows, {"c_custkey": "o_custkey"}, ["c_custkey"], [order, "o_orderkey"]).select(*df.columns, F.col("r_o_orderkey").alias(name))
+    return first(first(c("customer").df.select("c_custkey"), "large", "a"), ("large", "desc"), "b")
+
+
+@query("SELECT c_custkey, (SELECT string_agg(o_orderkey, ',' ORDER BY rn) FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderstatus DESC, o_orderdate, o_orderkey) AS rn FROM orders WHERE o_custkey = c_custkey) WHERE rn <= 3) AS three FROM customer")
+def rule_lookup_two_orders(c):
+    r = Rules("customer").infer(three=("lookup", "orders", {"o_custkey": ("ref", "c_custkey")}, {"order_by": [("desc", "o_orderstatus"), "o_orderdate"], "limit": 3}))
+    out = Inference(c, r).load("customer", "three")
+    return out.select("c_custkey", F.nullif(F.array_join(F.transform("three", lambda x: x["o_orderkey"].cast("string")), ","), F.lit("")).alias("three"))
+
+
+@query("SELECT o_orderkey, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_extendedprice * 3 > o_totalprice) AS n FROM (SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderstatus = 'P')")
+def count_repeated_outer_rows(c):
+    both = c("orders").df.unionByName(c("orders").df.where("o_orderstatus = 'P'"))
+    c.add(c.entities["orders"], both)
+    c._frames.pop("orders")
+    return c("orders").map(o_orderkey=lambda o: o.o_orderkey, n=lambda o: o.lines.count(lambda x: x.l_extendedprice * 3 > o.o_totalprice))
+
+
 @query("SELECT o_orderkey, o_totalprice > 350000 AS huge FROM orders")
 def rule_extra_first(c):
     base = Rules("orders").infer(huge=False)

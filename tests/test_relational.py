@@ -199,7 +199,7 @@ def test_rule_values(c):
     a, b, e, d = rows
     assert (a.owner, a.titles, [x.id for x in a.high], a.high[0].tag) == ("ann", ["x", "y"], [1], "t")
     assert ([x.id for x in a.found], a.n, a.until, [(x.id, x.prio) for x in a.branch]) == ([1], 1, 1, [(1, 5), (2, None)])
-    assert (a.nested.a, a.nested.b, a.first.id, [x.id for x in a.top]) == ([1, 2], "A!", 1, [2])
+    assert (a.nested.a, a.nested.b, a.first.id, [x.id for x in a.top]) == ([1, 2], "A!", 1, [1])  # a missing key comes last
     assert (e.titles, e.high, e.n, e.until, e.first) == ([], [], 0, 0, None)
     assert d.until == 1  # a missing title neither counts nor stops
     bound = Inference(c, Rules("list").infer({"tasks": ("bind", "t", {"prio": ("gt", 0)})}, first_id=("bound", "t", ["id"]))).load("list", "first_id")
@@ -214,7 +214,7 @@ def test_lookups(spark, c):
     tasks = c("task").df
     requests = spark.createDataFrame([(1, "1"), (3, "3"), (4, "4"), (0, None)], "k int, list string")
     top = lookup.query_all(requests, tasks, {"list": "list_id"}, ["k"], ["prio", "id"], limit=1)
-    assert sorted((r.k, r.r_id) for r in top.collect()) == [(0, None), (1, 2), (3, None), (4, 4)]
+    assert sorted((r.k, r.r_id) for r in top.collect()) == [(0, None), (1, 1), (3, None), (4, 4)]
     assert sorted((r.k, r.n) for r in lookup.count_by(requests, tasks, {"list": "list_id"}, "n").collect()) == [(0, 0), (1, 2), (3, 0), (4, 2)]
     nulls = tasks.select(F.when(F.col("id") > 1, F.col("list_id")).alias("list_id"), "id")
     assert {r.k: r.r_id for r in lookup.query_first(requests, nulls, {"list": "list_id"}, ["k"], ["id"], null_keys=True).collect()} == {0: 1, 1: 2, 3: None, 4: 4}
@@ -243,6 +243,77 @@ def test_sequences_without_groups(spark):
     assert seq.difference(df.select("g"), spark.createDataFrame([(0,), (0,)], "g long")).where("g = 0").count() == 5
 
 
+def ordered(spark, n, parts):
+    """n rows of about 300 bytes in random order over many partitions; v is 0 to n - 1."""
+    held = spark.range(n, numPartitions=parts).select(F.pmod(F.col("id") * 7919 + 13, F.lit(n)).alias("v"), F.repeat(F.sha2(F.col("id").cast("string"), 512), 2).alias("payload"))
+    return held
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_numbers_of_many_wide_rows(spark, adaptive):
+    n = 3_000_017
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        out = seq.number(ordered(spark, n, 40), ["v"]).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("index") != F.col("v")).cast("long")).alias("wrong"), F.min(F.length("payload")).alias("wide")).first()
+        assert tuple(out) == (n, 0, 256)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_global_sequences_over_many_ranges(spark):
+    n = 200_000
+    df = ordered(spark, n, 16).select("v", F.when(F.col("v") % 5 > 0, F.col("v")).alias("w"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+    try:
+        assert seq.take_every(df, 1, ["v"]).count() == n and seq.drop(df, 10, ["v"]).agg(F.min("v"), F.count(F.lit(1))).first() == (10, n - 10)
+        chunks = seq.chunk_every(df, 1000, ["v"]).groupBy("chunk").agg(F.min("v").alias("a"), F.max("v").alias("b")).collect()
+        assert sorted(map(tuple, chunks)) == [(k, 1000 * k, 1000 * k + 999) for k in range(n // 1000)]
+        both = seq.zip_frames(df.select("v"), df.select(F.col("v").alias("u")), ["v"], ["u"])
+        assert both.where("v = u AND v = index").count() == n
+        total = seq.scan(df, F.col("w"), ["v"], name="t")
+        wrong = total.withColumn("k", F.floor(F.col("v") / 5)).where(F.col("t") != (F.col("v") * (F.col("v") + 1) / 2 - 5 * F.col("k") * (F.col("k") + 1) / 2).cast("long"))
+        assert total.count() == n and wrong.count() == 0 and total.where("t IS NULL").count() == 1
+        assert seq.scan(df, F.col("w"), ["v"], fold=F.count, name="t").where(F.col("t") != F.col("v") - F.floor(F.col("v") / 5)).count() == 0
+        runs = seq.runs(df, F.floor(F.col("v") / 777), ["v"])
+        assert runs.where(F.col("run") != F.floor(F.col("v") / 777)).count() == 0
+        assert sorted(r.v for r in seq.dedup_by(df, F.floor(F.col("v") / 777), ["v"]).collect()) == list(range(0, n, 777))
+        before = seq.zip_previous(df, ["v", "w"], ["v"])
+        assert before.count() == n - 1 and before.where("prev_v != v - 1 OR NOT prev_w <=> nullif(v - 1, CASE WHEN (v - 1) % 5 = 0 THEN v - 1 END)").count() == 0
+        assert sorted(r["index"] for r in seq.reverse(df, ["w", "v"]).where("w IS NULL").collect()) == list(range(n // 5))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+def test_missing_keys_come_last(spark):
+    df = spark.createDataFrame([(1, None), (2, 5), (3, 4), (4, None)], "id long, k long")
+    assert [r.id for r in seq.take(df, 1, ["k"]).collect()] == [3] and {r.id for r in seq.take(df, -2, ["k"]).collect()} == {1, 4}
+    assert [r.id for r in seq.number(df, ["k", "id"]).orderBy("index").collect()] == [3, 2, 1, 4]
+    assert [r.id for r in seq.uniq_by(df, F.lit(1), ["k", "id"]).collect()] == [3]
+    owners = spark.createDataFrame([(0,)], "o long")
+    rows = df.withColumn("owner", F.lit(0))
+    for order in ("k", ("k", "desc")):
+        found = [r.r_id for r in lookup.query_all(owners, rows, {"o": "owner"}, ["o"], [order, "id"]).orderBy("rank").collect()]
+        assert found == ([3, 2, 1, 4] if order == "k" else [2, 3, 1, 4])
+
+
+def test_without_the_llm_folders(tmp_path):
+    """With both llm folders and the pipeline deleted, the entry still imports and other queries are there."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    for drop in (["relscope/llm", "tests/llm", "corpus_pipeline.py"], ["relscope/llm", "tests/llm"]):
+        to = tmp_path / str(len(drop))
+        shutil.copytree(root, to, ignore=shutil.ignore_patterns(".git", "__pycache__"))
+        for d in drop:
+            shutil.rmtree(to / d, ignore_errors=True)
+            (to / d).unlink(missing_ok=True) if d.endswith(".py") else None
+        code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 130 and not any(n.startswith('op') or n == 'pipeline' for n in q) and e.oracle_sql()"
+        subprocess.run([sys.executable, "-c", code], cwd=to, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(to)})
+
+
 def test_arrays(spark):
     df = spark.createDataFrame([([3, 1, 1, 2, None, 5],), ([],)], "a array<int>")
     a = F.col("a")
