@@ -2,27 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder of spark.checkpoint.dir; set one only where it is unset."""
-    spark = df.sparkSession
-    _checkpoint_dir(spark)
-    return df.checkpoint(eager=True)
-
-
-def _checkpoint_dir(spark: SparkSession) -> None:
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "relscope-checkpoints"))
+from ..checkpoint import cut
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of the edges (a, b): the smallest node it is connected with.
 
     Alternates large-star and small-star steps: each round links every node's larger (or smaller and equal)
@@ -31,7 +17,7 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
     before = None
-    for _ in range(most_rounds):
+    while True:  # each round makes paths shorter, so this ends
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
@@ -42,6 +28,4 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

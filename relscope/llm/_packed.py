@@ -10,8 +10,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-SCHEMA = "key int, kind int, docs binary, runs binary, hashes binary, extra binary"
-ARROW = pa.schema([("key", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("docs", "runs", "hashes", "extra"))])
+SCHEMA = "key int, kind int, docs binary, runs binary, hashes binary, extra binary, more binary"
+ARROW = pa.schema([("key", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("docs", "runs", "hashes", "extra", "more"))])
 EMPTY = pa.Table.from_batches([], ARROW)
 
 
@@ -41,8 +41,8 @@ def doc_group(doc: np.ndarray, groups: int) -> np.ndarray:
     return np.mod(doc, groups)
 
 
-def pack(key: np.ndarray, doc: np.ndarray, hashes: np.ndarray, extra: np.ndarray, kind: int, width: int = 8) -> list[pa.RecordBatch]:
-    """One row for each key; entries of one document should be neighbours. extra: int32."""
+def pack(key: np.ndarray, doc: np.ndarray, hashes: np.ndarray, extra: np.ndarray, kind: int, width: int = 8, more: np.ndarray | None = None) -> list[pa.RecordBatch]:
+    """One row for each key; entries of one document should be neighbours. extra: int32; more: a second hash."""
     if not len(key):
         return []
     small = key.astype(np.uint16) if int(key.max()) < 1 << 16 else key
@@ -60,6 +60,7 @@ def pack(key: np.ndarray, doc: np.ndarray, hashes: np.ndarray, extra: np.ndarray
         rows["runs"].append(planes(np.diff(np.r_[at, b - a]).astype(np.int32)))
         rows["hashes"].append(planes_of(hashes[a:b].astype(np.uint64), width))
         rows["extra"].append(planes(extra[a:b]))
+        rows["more"].append(None if more is None else planes(more[order[a:b]]))
     return pa.Table.from_pydict(rows, ARROW).to_batches()
 
 
@@ -73,5 +74,10 @@ def unpack(table: pa.Table, width: int = 8) -> tuple[np.ndarray, np.ndarray, np.
     return np.concatenate(doc), np.concatenate(hashes), np.concatenate(extra)
 
 
+def more(table: pa.Table) -> np.ndarray:
+    """The second hashes of all rows."""
+    return np.concatenate([flat(m, np.uint64) for m in table["more"].to_pylist()] or [np.zeros(0, np.uint64)])
+
+
 def kind(table: pa.Table, k: int) -> pa.Table:
     return table.filter(pa.array(np.asarray(table["kind"]) == k))

@@ -1,4 +1,6 @@
-"""Columnar text helpers: whole Arrow string columns become byte or code point arrays, words become 64-bit hashes.
+"""Columnar text helpers: whole Arrow string columns become byte or code point arrays, words become numbers.
+
+Inside a chunk words are numbered by their bytes, compared in full. Between tasks a word is its XXH3 hash of 128 bits.
 
 Everything here is vectorised over a chunk of documents whose text is bounded by ``CHUNK_BYTES`` (one longer
 document makes a chunk of its own), so a worker's memory does not depend on the size of a partition.
@@ -12,6 +14,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from xxhash import xxh3_128_digest
+
+from ..checkpoint import cut
 
 CHUNK_BYTES = 4 << 20
 
@@ -28,19 +33,24 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_BYTE_CODE = mix64(np.arange(1, 257, dtype=np.uint64) * _MUL) | _U(1)
-_powers = np.ones(1, np.uint64)
+
+def intern(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """A number for each of the byte strings that follow each other in raw (at: where each starts, and the end), and
+    the distinct strings by number. Equal numbers are equal bytes: no hash decides."""
+    if len(at) < 2:
+        return np.zeros(0, np.int32), []
+    kind, size = (pa.large_binary(), np.int64) if at[-1] >= 1 << 31 else (pa.binary(), np.int32)
+    strings = pa.Array.from_buffers(kind, len(at) - 1, [None, pa.py_buffer(at.astype(size)), pa.py_buffer(np.ascontiguousarray(raw))])
+    coded = strings.dictionary_encode()
+    _, off, data = coded.dictionary.buffers()
+    ends = np.frombuffer(off, size)[: len(coded.dictionary) + 1].tolist()
+    held = data.to_pybytes() if data is not None else b""
+    return np.asarray(coded.indices), [held[a:b] for a, b in zip(ends, ends[1:])]  # noqa: B905
 
 
-def powers(n: int) -> np.ndarray:
-    """The first n powers of one odd multiplier, modulo 2**64."""
-    global _powers
-    if len(_powers) < n:
-        with np.errstate(over="ignore"):
-            p = np.full(max(n, 2 * len(_powers), 4096), _MUL, np.uint64)
-            p[0] = 1
-            _powers = np.cumprod(p)
-    return _powers[:n]
+def digests(names: list[bytes]) -> np.ndarray:
+    """The 128-bit hash of each byte string, as two unsigned 64-bit numbers."""
+    return np.frombuffer(b"".join(map(xxh3_128_digest, names)), np.uint64).reshape(-1, 2)
 
 
 _SPACE = np.zeros(256, bool)
@@ -64,22 +74,18 @@ class Words:
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), self.count)
 
+    def coded(self) -> tuple[np.ndarray, list[bytes]]:
+        """The number of every word among the distinct ones, and these."""
+        step = np.zeros(len(self.data) + 1, np.int8)
+        step[self.start] += 1
+        step[self.end] -= 1
+        inside = np.cumsum(step[:-1], dtype=np.int8).view(bool)
+        return intern(self.data[inside], np.r_[0, np.cumsum(self.end - self.start)])
+
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of every word's bytes."""
-        length = self.end - self.start
-        out = np.empty(len(length), np.uint64)
-        done = np.r_[0, np.cumsum(length)]
-        i = 0
-        while i < len(length):  # about a MB of text at a time, or one word
-            j = max(i + 1, int(np.searchsorted(done, done[i] + (1 << 20), "right")) - 1)
-            n = length[i:j]
-            at = done[i:j] - done[i]
-            rel = np.arange(done[j] - done[i]) - np.repeat(at, n)
-            code = _BYTE_CODE[self.data[np.repeat(self.start[i:j], n) + rel]]
-            code *= powers(int(n.max()))[rel]
-            out[i:j] = np.add.reduceat(code, at)
-            i = j
-        return mix64(out + length.astype(np.uint64) * _MUL)
+        """Two 64-bit halves of every word's hash, a row each."""
+        code, names = self.coded()
+        return np.ascontiguousarray(digests(names).T)[:, code]
 
 
 def windows(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,8 +93,9 @@ def windows(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     if len(h) < k:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     n = len(h) - k + 1
-    total = np.zeros(n, np.uint64)
+    total = np.full(n, k, np.uint64)
     for t in range(k):
+        total ^= total >> _U(29)  # so that sequences of few words have no algebra
         total *= _U(0xD6E8FEB86659FD93)
         total += h[t : t + n]
     left = np.repeat(first[1:], np.diff(first))[:n] - np.arange(n)
@@ -143,11 +150,26 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(lengths.sum()) + np.repeat(np.asarray(starts, np.int64) - at, lengths)
 
 
+#: Plans whose partitions hold the same rows in the same order whenever they are computed again.
+STEADY = {"Project", "Filter", "SubqueryAlias", "LogicalRelation", "LocalRelation", "LogicalRDD", "Range", "Relation", "ExternalRDD", "SerializeFromObject", "DataSourceV2ScanRelation"}
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The frame if it only reads and projects, else written down: so that a row can be named by its place."""
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        plan = todo.pop()
+        if plan.nodeName().split(" ")[0] not in STEADY:
+            return cut(df)
+        todo += [plan.children().apply(i) for i in range(plan.children().size())]
+    return df
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Spark's estimate of the frame's size, from files and schema: nothing is run."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def buckets_for(df: DataFrame, bytes_each: int, least: int = 16, most: int = 1 << 16) -> int:
+def buckets_for(df: DataFrame, bytes_each: int, least: int = 16, most: int = 1 << 24) -> int:
     """So many buckets that each gets about bytes_each of the frame, from its estimated size."""
     return max(least, min(most, -(-plan_bytes(df) // bytes_each)))

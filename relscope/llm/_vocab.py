@@ -1,4 +1,4 @@
-"""Work once on each distinct word of a partition: words are named by 64-bit hashes, documents wait as word numbers."""
+"""Work once on each distinct word of a partition: documents wait as word numbers. Words are told apart by their bytes."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
-import pandas as pd
 
 
 @dataclass
@@ -15,9 +14,9 @@ class Tokens:
     """The words of some documents, one after another."""
 
     ids: Any  # of the documents
-    hashes: np.ndarray  # of each word
+    codes: np.ndarray  # of each word, its number among
+    names: list[bytes]  # the distinct words
     first: np.ndarray  # index of each document's first word, one more than documents
-    word: Callable[[int], bytes]  # the i-th word
 
 
 def by_distinct_words(parts: Iterator[Tokens], solve: Callable[[list[bytes]], Any], emit: Callable[[Any, np.ndarray, np.ndarray, Any], Any], most_words: int = 1 << 20, most_waiting: int = 24 << 20) -> Iterator[Any]:
@@ -25,23 +24,20 @@ def by_distinct_words(parts: Iterator[Tokens], solve: Callable[[list[bytes]], An
 
     Both limits bound memory only: beyond either, what waits is emitted and the vocabulary starts anew.
     """
-    known: dict[int, int] = {}
+    known: dict[bytes, int] = {}
     words: list[bytes] = []
     waiting: list[tuple[Any, np.ndarray, np.ndarray]] = []
     n = 0
     for part in parts:
-        code, names = pd.factorize(part.hashes)
-        at = np.empty(len(names), np.int64)
-        at[code[::-1]] = np.arange(len(code))[::-1]
-        number = np.empty(len(names), np.int32)
-        for i, (h, j) in enumerate(zip(names.tolist(), at.tolist(), strict=True)):
-            k = known.get(h)
+        number = np.empty(len(part.names), np.int32)
+        for i, w in enumerate(part.names):
+            k = known.get(w)
             if k is None:
-                k = known[h] = len(words)
-                words.append(part.word(j))
+                k = known[w] = len(words)
+                words.append(w)
             number[i] = k
-        waiting.append((part.ids, part.first, number[code] if len(code) else np.zeros(0, np.int32)))
-        n += len(code)
+        waiting.append((part.ids, part.first, number[part.codes]))
+        n += len(part.codes)
         if n > most_waiting or len(words) > most_words:
             solved = solve(words)
             yield from (emit(*w, solved) for w in waiting)

@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ._text import chunks, mix64, powers, ragged
+from ._text import Words, chunks, ragged
 from ._vocab import Tokens, by_distinct_words
 
 NONE = np.iinfo(np.int64).max
@@ -72,11 +72,6 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-@cache
-def char_codes() -> np.ndarray:
-    return mix64(np.arange(1, 0x110001, dtype=np.uint64)) | np.uint64(1)
-
-
 @cache
 def library_tokenizer(spec: str):
     from tokenizers import Tokenizer
@@ -195,28 +190,20 @@ class BpeModel:
         at = np.r_[0, np.cumsum([len(p) for p in pieces])]
         start = self.cut(cp, at) if len(cp) else np.zeros(0, np.int64)
         end = np.r_[start[1:], len(cp)]
-        rel = np.arange(len(cp)) - np.repeat(start, end - start)
-        size = end - start
-        h = np.add.reduceat(char_codes()[cp] * powers(int(size.max(initial=1)))[rel], start) if len(start) else np.zeros(0, np.uint64)
-        h = mix64(h + size.astype(np.uint64))
+        byte = np.r_[0, np.cumsum(1 + (cp >= 0x80) + (cp >= 0x800) + (cp >= 0x10000))]  # where each code point is in UTF-8
         if self.lower:
             ink = self.kinds[cp[start]] != SPACE
-            start, end, h = start[ink], end[ink], h[ink]
+            start, end = start[ink], end[ink]
+        raw = np.frombuffer(joined.encode("utf-8", "surrogatepass"), np.uint8)
+        codes, names = Words(raw, at, byte[start], byte[end], at).coded()
+        before = np.searchsorted(start, at[first])
         marks = np.flatnonzero(special >= 0)
-        n = len(h)
         if len(marks):
-            place = np.searchsorted(start, at[marks])
-            start, end, h = np.insert(start, place, -1 - special[marks]), np.insert(end, place, 0), np.insert(h, place, mix64(special[marks].astype(np.uint64) + np.uint64(1 << 40)))
-            before = np.searchsorted(start[start >= 0], at[first]) + np.searchsorted(marks, first)
-        else:
-            before = np.searchsorted(start, at[first]) if n else np.zeros(len(first), np.int64)
-        start, end = start.astype(np.int64), end.astype(np.int64)
-
-        def word(i: int) -> bytes:
-            s = int(start[i])
-            return b"\xff" + str(-1 - s).encode() if s < 0 else joined[s : int(end[i])].encode("utf-8", "surrogatepass")
-
-        return Tokens(ids, h, before, word)
+            kinds, which = np.unique(special[marks], return_inverse=True)
+            codes = np.insert(codes, np.searchsorted(start, at[marks]), len(names) + which)
+            names += [b"\xff" + str(i).encode() for i in kinds.tolist()]
+            before = before + np.searchsorted(marks, first)
+        return Tokens(ids, codes, names, before)
 
     # -- words to ids --------------------------------------------------------------------------------------------
 

@@ -7,17 +7,17 @@ region. So the space is cut twice:
 * Outer regions. A document's distance to the pivot {s} of a single shingle s is 1 - 1 / |A|, or 1 without s: its
   nearest pivots are its shingles. Ordered by how many documents hold them, rarest first, a document is replicated
   to its first |A| - ceil(t |A|) + 1 pivots: two documents within distance 1 - t must share one of them. Shingles
-  of a single document are nobody's meeting place. Documents that share a pivot are put into one region, joined over
-  shared pivots, so no document's shingles travel more than once.
-* Inner regions. In a region, document pivots create Voronoi cells; a document is replicated to each cell whose pivot
-  is no further than its own pivot plus 2 (1 - t), by the triangle inequality; cells are joined recursively. Small
-  cells, and those that windows do not part, are joined exactly, pair by pair, where the distances to the pivots
-  allow a link. Pairs that are already connected are not compared again.
-
-Regions of more than ``region_size`` documents are cut by distributed pivot rounds first: all documents of the region
-are compared with its pivot, and only the rest, with the window of documents that could link to it, goes on. What
-rounds do not make smaller goes to one task, up to ``most_in_task`` documents.
-Documents with equal sets are one class from the start. Shingles are 56-bit hashes (64 at counting, with the bucket).
+  of a single document are nobody's meeting place. The smallest document at a shingle is the pivot of a region, which
+  takes the documents of all shingles with that pivot: a document's regions are few, and regions do not chain.
+* Inner pivots. Two rounds compare each region's documents with a document pivot of it. A region whose documents are
+  connected then is done, as is one of three documents. Other regions of more than ``block`` documents are cut by
+  document pivots into Voronoi cells: a document goes to its nearest pivot and, by the triangle inequality, to each one
+  that is at most 2 (1 - t) further; so twice, as long as windows part a region. What is still larger is joined block
+  by block, a group for each pair of blocks. So no group holds more than two blocks, and the number of rounds does not
+  depend on the data. A group is joined exactly, by a matrix product. Pairs that are connected already need no link.
+
+Documents with equal sets (by 128 bits of them) are one class from the start. Shingles are 56-bit hashes of their
+words' 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -26,25 +26,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoint import cut
 from . import _packed as P
-from ._components import components, cut
-from ._text import buckets_for, chunks, lower_ascii, mix64, ragged, split_words, string_parts, windows
+from ._components import components
+from ._text import buckets_for, chunks, lower_ascii, mix64, ragged, settled, split_words, string_parts, windows
 
 U = np.uint64
 HOT, HOT_DF = 64, 65535
 ENTRIES, REPLIES, INFO, HOTS = 0, 1, 2, 3
-LEAF, PIVOTS = 48, 8
-INFO_SCHEMA = "doc_id long, n long, sig long, prefix array<long>, hashes binary"
-INFO_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("prefix", pa.list_(pa.int64())), ("hashes", pa.binary())])
+INFO_SCHEMA = "row long, doc_id long, n long, sig array<long>, prefix array<long>, shared array<long>"
+INFO_ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("sig", "prefix", "shared"))])
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(document index, hash) of the distinct shingles, ordered by document: k words each, or all of fewer words."""
     words = split_words(lower_ascii(data), at)
-    h = words.hashes()
+    h = words.hashes()[0]
     pos, grams = windows(h, words.first, k)
     doc = words.doc_of()
     own = doc[pos]
@@ -62,16 +63,20 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray,
 
 
 def _bucket(h: np.ndarray, nb: int) -> np.ndarray:
-    return ((h >> U(48)) % U(nb)).astype(np.int64)
+    return (((h >> U(24)) & U(0xFFFFFFFF)) % U(nb)).astype(np.int64)
 
 
 def _map(k: int, nb: int, nd: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows are named by partition and place: a partition's rows come in one order (see settled)
+        done = TaskContext.get().partitionId() << 33
         for batch in chunks(batches, "text"):
-            ids = np.asarray(batch.column(0).fill_null(-1))
+            ids = done + np.arange(batch.num_rows)
+            done += batch.num_rows
             own, h = shingle_sets(*string_parts(batch.column(1)), k)
             n = np.bincount(own, minlength=len(ids))
-            yield from P.pack(P.doc_group(ids, nd), ids, np.zeros(len(ids), np.uint64), n, INFO, 1)
+            given = batch.column(0)
+            yield from P.pack(P.doc_group(ids, nd), ids, np.asarray(given.fill_null(0)).view(U), 2 * n + np.asarray(given.is_null()), INFO)
             order = np.argsort(h)
             s = h[order]
             at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
@@ -114,211 +119,187 @@ def _collect(percent: int):
     """Each document with its shared shingles (rarest first) and, of these, the pivots it is replicated to."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, _, n = P.unpack(P.kind(table, INFO), 1)
+        ids, given, n = P.unpack(P.kind(table, INFO))
         doc, h, df = P.unpack(P.kind(table, REPLIES), 7)
         order = np.argsort(h)
         order = order[np.argsort(df[order], kind="stable")]
         order = order[np.argsort(doc[order], kind="stable")]
         doc, h = doc[order], h[order]
-        new = np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])] if len(doc) else np.zeros(0, bool)
-        doc, h = doc[new], h[new]  # rows that repeat a document send its shingles again
         by = np.argsort(ids, kind="stable")
-        ids, n = ids[by], n[by].astype(np.int64)
+        ids, given, unnamed, n = ids[by], given[by].view(np.int64), n[by] & 1 == 1, n[by].astype(np.int64) >> 1
         first, last = np.searchsorted(doc, ids), np.searchsorted(doc, ids, "right")
         need = -(-n * percent // 100)
         joins = (last - first >= need) & (n > 0)
         reach = n - need + 1 - (n - (last - first))  # pivots left after the shingles that no other document holds
-        sigs, prefixes, hashes = [], [], []
+        sigs, prefixes, shared = [], [], []
         for i in range(len(ids)):
             if not joins[i]:
                 sigs.append(None)
                 prefixes.append(None)
-                hashes.append(None)
+                shared.append(None)
                 continue
             own = h[first[i] : last[i]]
             whole = len(own) == n[i]
-            with np.errstate(over="ignore"):
-                sigs.append(int(mix64(np.sum(mix64(own), keepdims=True) + U(n[i])).view(np.int64)[0]) if whole else None)
-            prefixes.append(own[: reach[i]].astype(np.int64))
-            hashes.append(np.sort(own).tobytes())
-        return pa.Table.from_arrays([pa.array(ids), pa.array(n), pa.array(sigs, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(hashes, pa.binary())], schema=INFO_ARROW)
+            sigs.append(np.array([mix64(own).sum(), mix64(own ^ U(0xA0761D6478BD642F)).sum()]).view(np.int64) if whole else None)
+            prefixes.append(own[: reach[i]].view(np.int64))
+            shared.append(np.sort(own).view(np.int64))
+        columns = [pa.array(ids), pa.array(given, mask=unnamed), pa.array(n), *(pa.array(x, pa.list_(pa.int64())) for x in (sigs, prefixes, shared))]
+        return pa.Table.from_arrays(columns, schema=INFO_ARROW)
 
     return run
 
 
-class Forest:
-    """Union-find over 0 to n - 1; a root is the smallest of its tree."""
+def components_of(ids: np.ndarray, at: np.ndarray, n: np.ndarray, label: np.ndarray, percent: int, columns: int = 2048) -> np.ndarray:
+    """The smallest document that each one is connected with, by links or by equal labels at the start.
 
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def root(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return int(i)
-
-    def roots(self, of: np.ndarray) -> np.ndarray:
-        r = self.up[of]
-        while True:
-            s = self.up[r]
-            if (s == r).all():
-                self.up[of] = r
-                return r
-            r = s
-
-    def link(self, i: int, j: int) -> None:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-
-
-class MetricJoin:
-    """Links all sets of a region within the threshold, up to connectedness.
-
-    ids: the shared shingles of all sets, one after another; at: where each starts; n: full sizes.
+    ids: the shared shingles of all sets, one after another; at: where each starts; n: full sizes. Intersections of all
+    pairs are a matrix product, over a bounded number of shingles at a time; shingles of one document add nothing.
     """
-
-    def __init__(self, ids: np.ndarray, at: np.ndarray, n: np.ndarray, percent: int):
-        names, self.ids = np.unique(ids, return_inverse=True)
-        self.at, self.n, self.percent = at, n, percent
-        self.mark = np.zeros(len(names), np.int32)
-        self.far = 1 - percent / 100
-        self.forest = Forest(len(n))
-
-    def shared(self, pivot: int, others: np.ndarray) -> np.ndarray:
-        own = self.ids[self.at[pivot] : self.at[pivot + 1]]
-        self.mark[own] = 1
-        size = (self.at[1:] - self.at[:-1])[others]
-        got = np.add.reduceat(np.r_[self.mark[self.ids[ragged(self.at[others], size)]], 0], np.cumsum(size) - size)
-        self.mark[own] = 0
-        return np.where(size > 0, got, 0)
-
-    def compare(self, pivot: int, others: np.ndarray) -> np.ndarray:
-        """Distances to the pivot; what is near enough is linked."""
-        i = self.shared(pivot, others)
-        u = self.n[pivot] + self.n[others] - i
-        for j in others[(100 * i >= self.percent * u) & (others != pivot)].tolist():
-            self.forest.link(pivot, j)
-        return 1 - i / np.maximum(u, 1)
-
-    def join(self, docs: np.ndarray) -> None:
-        todo = [docs]
-        while todo:
-            docs = todo.pop()
-            if len(docs) < 2 or (r := self.forest.roots(docs)).min() == r.max():
-                continue
-            if len(docs) <= LEAF:
-                self.pairs(docs, np.zeros((0, len(docs))))
-                continue
-            pivots = [int(docs[0])]
-            far = [self.compare(pivots[0], docs)]
-            while len(pivots) < PIVOTS and (d := np.min(far, axis=0)).max() > self.far:
-                pivots.append(int(docs[int(d.argmax())]))
-                far.append(self.compare(pivots[-1], docs))
-            d = np.array(far)
-            home = d.argmin(axis=0)
-            inside = d <= d.min(axis=0) + 2 * self.far + 1e-9
-            cells = [docs[inside[p] & self._window(d[p], home == p)] for p in range(len(pivots))]
-            if len(pivots) > 1 and sum(map(len, cells)) <= 1.5 * len(docs) and max(map(len, cells)) <= 0.8 * len(docs):
-                todo += cells
-            else:  # windows that do not part the region
-                self.pairs(docs, d)
-
-    def pairs(self, docs: np.ndarray, d: np.ndarray) -> None:
-        """Compare all pairs that are not connected yet and whose distances to each pivot differ by 1 - t at most."""
-        for k in range(len(docs) - 1):
-            rest = k + 1 + np.flatnonzero(self.forest.roots(docs[k + 1 :]) != self.forest.root(int(docs[k])))
-            for x in d:
-                rest = rest[np.abs(x[rest] - x[k]) <= self.far + 1e-9]
-            if len(rest):
-                self.compare(int(docs[k]), docs[rest])
-
-    def _window(self, d: np.ndarray, at_home: np.ndarray) -> np.ndarray:
-        """Only what is at most 1 - t further than the furthest document that lives in the cell can link to it."""
-        return d <= (d[at_home].max() if at_home.any() else -1) + self.far + 1e-9
+    docs = len(n)
+    order = np.argsort(ids, kind="stable")
+    s, own = ids[order], np.repeat(np.arange(docs), np.diff(at))[order]
+    new = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
+    held = np.diff(np.r_[new, len(s)])
+    own, held = own[np.repeat(held > 1, held)], held[held > 1]
+    ends = np.r_[0, np.cumsum(held)]
+    both = np.zeros((docs, docs), np.float32)
+    for lo in range(0, len(held), columns):
+        part = np.arange(lo, min(lo + columns, len(held)))
+        some = np.zeros((docs, len(part)), np.float32)
+        some[own[ends[lo] : ends[part[-1] + 1]], np.repeat(part - lo, held[part])] = 1
+        both += some @ some.T
+    linked = 100 * both.astype(np.int64) >= percent * (n[:, None] + n[None, :] - both.astype(np.int64))
+    _, first, which = np.unique(label, return_index=True, return_inverse=True)
+    now = first[which]
+    while True:  # each document takes the least of its neighbours, then all of a component take their least
+        least = np.minimum(now, np.where(linked, now[None, :], docs).min(axis=1))
+        low = np.full(docs, docs)
+        np.minimum.at(low, now, least)
+        low = np.minimum(low[now], least)
+        if (low == now).all():
+            return now
+        now = low
 
 
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _join_regions(percent: int):
+def _join_groups(percent: int):
+    """Links between documents of one group, up to connectedness; documents of one component are connected already."""
+
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("region", "ascending"), ("doc_id", "ascending")])
-        region, doc, n = (np.asarray(table[c]) for c in ("region", "doc_id", "n"))
-        hashes = table["hashes"].to_pylist()
-        cut_at = np.flatnonzero(np.r_[True, region[1:] != region[:-1], True])
+        table = table.sort_by([("group", "ascending"), ("row", "ascending")]).combine_chunks()
+        group, row, n, comp = (np.asarray(table[c]) for c in ("group", "row", "n", "comp"))
+        lists = table["shared"].combine_chunks()
+        flat, off = np.asarray(lists.flatten()), np.r_[0, np.cumsum(np.asarray(lists.value_lengths()))]
+        cut_at = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
         a, b = [], []
         for lo, hi in zip(cut_at[:-1].tolist(), cut_at[1:].tolist(), strict=True):
-            sets = [np.frombuffer(h, np.uint64) for h in hashes[lo:hi]]
-            at = np.r_[0, np.cumsum([len(s) for s in sets])]
-            j = MetricJoin(np.concatenate(sets), at, n[lo:hi], percent)
-            j.join(np.arange(hi - lo))
-            root = j.forest.roots(np.arange(hi - lo))
-            some = root != np.arange(hi - lo)
-            a.append(doc[lo:hi][some])
-            b.append(doc[lo + root[some]])
+            root = components_of(flat[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n[lo:hi], comp[lo:hi], percent)
+            first = np.unique(comp[lo:hi], return_index=True)[1]  # of each component; the others are linked with it
+            some = first[root[first] != first]
+            a.append(row[lo + some])
+            b.append(row[lo + root[some]])
         return pa.Table.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (a, b)], schema=LINKS)
 
     return run
 
 
-def _pivot_distance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for x in batches:
-        shared = [len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), True)) for a, b in zip(x.column("hashes").to_pylist(), x.column("pivot_hashes").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*(x.column(c) for c in ("region", "doc_id", "pivot")), pa.array(shared, pa.int64()), x.column("n"), x.column("pivot_n")], names=["region", "doc_id", "pivot", "i", "n", "pivot_n"])
+def _linked(i: Column, n: Column, m: Column, percent: int) -> Column:
+    return 100 * i >= percent * (n + m - i)
 
 
-def _shrink(regions: DataFrame, sets: DataFrame, percent: int, soft: int, hard: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Cut regions of more than ``soft`` documents by pivot rounds: (smaller regions, links found).
+def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are linked. A pivot that many rows meet is a skewed key, which AQE splits."""
+    right = sets.select(F.col("row").alias("b"), F.col("n").alias("m"), F.col("shared").alias("other"))
+    both = pairs.join(sets.select(F.col("row").alias("a"), "n", "shared"), "a").join(right, "b")
+    near = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    return both.where(near & _linked(F.size(F.array_intersect("shared", "other")), F.col("n"), F.col("m"), percent)).select("a", "b")
 
-    A region that a round made smaller by less than a tenth goes on only while it has more than ``hard`` documents.
-    """
-    links = []
-    sizes = regions.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("pivot"))
-    big = cut(sizes.where(F.col("size") > soft))
-    while not big.isEmpty():
-        pivots = big.join(sets.select(F.col("doc_id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("hashes").alias("pivot_hashes")), "pivot").drop("size")
-        rows = regions.join(pivots, "region").join(sets.select("doc_id", "n", "hashes"), "doc_id")
-        far = cut(rows.select("region", "doc_id", "pivot", "n", "pivot_n", "hashes", "pivot_hashes").mapInArrow(_pivot_distance, "region long, doc_id long, pivot long, i long, n long, pivot_n long"))
-        u = F.col("n") + F.col("pivot_n") - F.col("i")
-        far = far.select("region", "doc_id", "pivot", (100 * F.col("i") >= percent * u).alias("linked"), (1 - F.col("i") / u).alias("d"))
-        links.append(far.where("linked AND doc_id != pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")))
-        edge = far.where("NOT linked").groupBy("region").agg(F.min("d").alias("edge"))
-        rest = far.join(edge, "region").where(~F.col("linked") | ((F.col("doc_id") != F.col("pivot")) & (F.col("d") >= F.col("edge") - (1 - percent / 100) - 1e-9)))
-        regions = cut(regions.join(big.select("region"), "region", "left_anti").unionByName(rest.select("region", "doc_id")))
-        now = regions.join(big.select("region", F.col("size").alias("was")), "region").groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("pivot"), F.first("was").alias("was"))
-        big = cut(now.where((F.col("size") > hard) | ((F.col("size") > soft) & (F.col("size") < 0.9 * F.col("was")))).drop("was"))
-    return regions, links
-
-
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, bucket_bytes: int = 8 << 20, region_size: int = 20_000, most_in_task: int = 20_000) -> DataFrame:
-    """doc_id, n_shingles, component_id for each document: the size of its set of word shingles (A-Z lower-cased; fewer
+
+def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The members of regions that are not connected by the links, each with its component."""
+    named = members.join(components(links), members["row"] == F.col("node"), "left").select("region", "row", "size", F.coalesce("component", "row").alias("comp"))
+    open_ = named.groupBy("region").agg(F.min("comp").alias("low"), F.max(F.struct("comp", "row")).alias("high")).where("low < high.comp").select("region", "high")
+    return cut(named.join(open_, "region"))
+
+
+def _cells(big: DataFrame, sets: DataFrame, percent: int, block: int, pivots: int) -> tuple[DataFrame, DataFrame]:
+    """One level of Voronoi cells: (cells with the documents of their windows, links to pivots)."""
+    far = 2 * (1 - percent / 100) + 1e-9
+    parts = F.ceil(F.col("size") / block)
+    chosen = big.withColumn("rank", F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("row", "region"), "row"))).where(F.col("rank") <= pivots)
+    held = chosen.join(sets, "row").groupBy("region").agg(F.collect_list(F.struct("row", "n", "shared")).alias("pivots"), F.first("size").alias("size"))
+    # a region's pivots go to as many tasks as it has blocks
+    held = held.select("region", "pivots", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    rows = big.join(sets, "row").withColumn("part", F.pmod(F.xxhash64("row"), parts))
+    shared = lambda p: F.size(F.array_intersect(F.col("shared"), p["shared"]))
+    seen = F.transform("pivots", lambda p: F.struct(p["row"].alias("pivot"), shared(p).alias("i"), p["n"].alias("m")))
+    met = cut(rows.join(held, ["region", "part"]).select("region", "row", "comp", "n", F.transform(seen, lambda p: F.struct((1 - p["i"] / (F.col("n") + p["m"] - p["i"])).alias("d"), p["pivot"].alias("pivot"), _linked(p["i"], F.col("n"), p["m"], percent).alias("linked"))).alias("met")))
+    links = met.select(F.col("row").alias("a"), F.explode(F.filter("met", lambda p: p["linked"])["pivot"]).alias("b")).where("a != b")
+    near = met.select("region", "row", "comp", F.explode(F.filter("met", lambda p: p["d"] <= F.array_min("met")["d"] + far)).alias("p"))
+    cells = near.select(F.col("region").alias("parent"), F.xxhash64("region", "p.pivot").alias("region"), "row", "comp")
+    sizes = cells.groupBy("parent", "region").agg(F.count(F.lit(1)).alias("size"))
+    return cells.join(sizes, ["parent", "region"]), links
+
+
+def _grouped(members: DataFrame, block: int) -> DataFrame:
+    """Regions as groups of at most two blocks: (group, row, comp). Any two documents of a region meet in a group."""
+    blocks = F.ceil(F.col("size") / block)
+    own = F.pmod(F.xxhash64("row", "region"), blocks)
+    other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other")
+    placed = members.select("region", "row", "comp", own.alias("own"), other)
+    return placed.select(F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "row", "comp")
+
+
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, bucket_bytes: int = 8 << 20, block: int = 512, pivots: int = 8, levels: int = 2) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row: the size of its set of word shingles (A-Z lower-cased; fewer
     words than a shingle count as one) and the smallest doc_id reachable by links of Jaccard similarity of at least
     percent / 100.
 
-    doc_id must be an integer and name one text; a null one acts as -1. Repeated rows give repeated rows. Null, empty
-    and wordless texts have no shingles and link with nothing. Other columns are not read. An empty table gives no rows.
+    doc_id must be an integer. Each row is a document of its own: rows may repeat an id with the same or another text.
+    A null id stays null, and its component_id is the smallest doc_id that is not null, null if there is none. Null,
+    empty and wordless texts have no shingles and link with nothing. Other columns are not read. An empty table gives
+    no rows. ``block``, ``pivots`` and ``levels`` change how the work is dealt out, not the result.
     """
-    docs = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    docs = settled(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
     nb = buckets_for(docs, bucket_bytes)
     nd = nb | 1
     counted = docs.mapInArrow(_map(shingle, nb, nd), P.SCHEMA).groupBy("key").applyInArrow(_count(nb, nd), P.SCHEMA)
     info = cut(counted.groupBy("key").applyInArrow(_collect(percent), INFO_SCHEMA))
-    near = info.where("prefix IS NOT NULL").select("doc_id", "sig", "n", "prefix")
-    classes = near.where("sig IS NOT NULL").groupBy("sig", "n").agg(F.min("doc_id").alias("rep"))
-    twins = near.where("sig IS NOT NULL").join(classes, ["sig", "n"]).where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    twins = cut(twins)
-    cells = near.join(twins, near["doc_id"] == twins["a"], "left_anti").select("doc_id", F.explode("prefix").alias("cell"))
-    homes = cells.groupBy("cell").agg(F.min("doc_id").alias("home"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    meet = cells.join(homes, "cell").where("doc_id != home").select(F.col("doc_id").alias("a"), F.col("home").alias("b"))
-    regions = cut(components(meet).select(F.col("component").alias("region"), F.col("node").alias("doc_id")))
-    sets = info.where("prefix IS NOT NULL").select("doc_id", "n", "hashes")
-    regions, links = _shrink(regions, sets, percent, min(region_size, most_in_task), most_in_task)
-    packed = regions.join(sets, "doc_id").withColumn("bucket", F.pmod(F.xxhash64("region"), F.lit(nb * 4)))
-    inner = packed.groupBy("bucket").applyInArrow(_join_regions(percent), "a long, b long")
-    for more in (twins, *links):
-        inner = inner.unionByName(more)
-    found = components(inner)
-    joined = info.join(found, info["doc_id"] == found["node"], "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    near = info.where("prefix IS NOT NULL").select("row", "sig", "n", "prefix")
+    classes = near.where("sig IS NOT NULL").groupBy("sig", "n").agg(F.min("row").alias("rep"))
+    twins = cut(near.where("sig IS NOT NULL").join(classes, ["sig", "n"]).where("row != rep").select(F.col("row").alias("a"), F.col("rep").alias("b")))
+    held = near.join(twins, near["row"] == twins["a"], "left_anti").select("row", F.explode("prefix").alias("shingle"))
+    homes = held.groupBy("shingle").agg(F.min("row").alias("region"), F.count(F.lit(1)).alias("held")).where("held > 1").drop("held")
+    members = cut(held.join(homes, "shingle").select("region", "row").distinct())
+    members = members.join(members.groupBy("region").agg(F.count(F.lit(1)).alias("size")), "region")
+    sets = info.where("prefix IS NOT NULL").select("row", "n", "shared")
+
+    links = cut(_compare(members.where("row != region").select(F.col("row").alias("a"), F.col("region").alias("b")), sets, percent))
+    left = _labelled(members.where("size > 2"), links)
+    second = left.where("comp != high.comp").select(F.col("row").alias("a"), F.col("high.row").alias("b")).distinct()
+    links = cut(links.unionByName(_compare(second, sets, percent)))
+    left = _labelled(members.where("size > 3"), links).select("region", "row", "comp", "size")
+    done = []
+    for _ in range(levels):
+        big = cut(left.where(F.col("size") > block))
+        if big.isEmpty():
+            break
+        cells, more = _cells(big, sets, percent, block, pivots)
+        # where windows part a region into smaller cells, these go on; else its own blocks are joined
+        work = cells.groupBy("parent").agg(F.sum("size").alias("work"))
+        whole = big.groupBy("region").agg(F.sum("size").alias("whole"))
+        parted = cut(work.join(whole, work["parent"] == whole["region"]).where("work < 0.7 * whole").select("parent"))
+        done += [left.where(F.col("size") <= block), big.join(parted, big["region"] == parted["parent"], "left_anti")]
+        left = cells.join(parted, "parent", "left_semi").select("region", "row", "comp", "size")
+        links = links.unionByName(more)
+    for more in done:
+        left = left.unionByName(more)
+    groups = cut(_grouped(left, block))
+    buckets = groups.count() // (2 * block) + 1
+    dealt = groups.withColumn("bucket", F.pmod(F.xxhash64("group"), F.lit(buckets))).join(sets, "row")
+    found = components(dealt.groupBy("bucket").applyInArrow(_join_groups(percent), "a long, b long").unionByName(links).unionByName(twins))
+    named = info.join(found, info["row"] == found["node"], "left").select("doc_id", "n", F.col("component").alias("comp"))
+    least = named.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    return named.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))

@@ -47,7 +47,7 @@ SHAPE = _shape_class()
 def items(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of the words and of their shapes (a repeated word's is REPEAT), and each text's first word."""
     words = split_words(lower_ascii(data), at)
-    h = words.hashes()
+    h = words.hashes()[0]
     same = np.r_[False, h[1:] == h[:-1]] if len(h) else np.zeros(0, bool)
     same[words.first[:-1][words.count > 0]] = False
     shape = SHAPE[data]
@@ -55,7 +55,7 @@ def items(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     begin[words.start] = True
     keep = begin | np.r_[True, shape[1:] != shape[:-1]] if len(data) else begin
     place = np.r_[0, np.cumsum(keep)]
-    shapes = Words(shape[keep], at, place[words.start], place[words.end], words.first).hashes()
+    shapes = Words(shape[keep], at, place[words.start], place[words.end], words.first).hashes()[0]
     row = lambda x: (1 + (x >> np.uint64(20)) % np.uint64(ROWS - 1)).astype(np.int32)
     return row(h), np.where(same, REPEAT, row(shapes ^ np.uint64(0x5BD1E995))), words.first
 

@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructField, StructType
 
-from ._text import Words, chunks, split_words, string_parts, windows
+from ._text import Words, chunks, split_words, string_parts
 
 LEVEL, CHUNK = 3, 4096
 #: (bytes from, lowest, highest ratio of compressed to plain bytes); shorter texts than the first have no band
@@ -33,6 +33,20 @@ def _per_doc(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.diff(np.r_[0, np.cumsum(flags, dtype=np.int64)][at])
 
 
+def _trigrams(code: np.ndarray, n: int, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the first word, number) of all runs of three words in one text; equal numbers are equal runs."""
+    at = np.arange(max(len(code) - 2, 0))
+    left = np.repeat(first[1:], np.diff(first))[: len(at)] - at
+    at = at[left >= 3]
+    a, b, c = (code[at + k].astype(np.int64) for k in range(3))
+    pair = a * n + b
+    if n**3 >= 1 << 63:
+        names, pair = np.unique(pair, return_inverse=True)
+        if len(names) * n >= 1 << 63:
+            raise OverflowError("a chunk has too many distinct words")
+    return at, pair * n + c
+
+
 def _again(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether an entry's hash occurs twice or more in its document, and whether it occurred before."""
     order = np.argsort(h, kind="stable")
@@ -64,8 +78,9 @@ def base_statistics(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     held = np.r_[0, np.cumsum(inside)]
     some = held[end] > held[start]
     lines = Words(data, at, start[some], end[some], np.searchsorted(start[some], at))
-    _, before = _again(lines.doc_of(), lines.hashes())
-    pos, grams = windows(words.hashes(), words.first, 3)
+    _, before = _again(lines.doc_of(), lines.coded()[0])
+    code, names = words.coded()
+    pos, grams = _trigrams(code, len(names), words.first)
     often, _ = _again(words.doc_of()[pos], grams)
     repeated = np.zeros(len(words.start), bool)
     for k in range(3):

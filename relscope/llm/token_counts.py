@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from ._text import chunks, ragged, split_words, string_parts
 from ._vocab import Tokens, by_distinct_words
 
-STEP = 1 << 20  # a score counts in units of this, a token takes one off
+NEVER, MANY = np.iinfo(np.int64).min // 2, np.iinfo(np.int64).max
 
 
 class UnigramModel:
@@ -47,9 +47,9 @@ class UnigramModel:
         keys = np.array([(a << 21) | c for a, c in nodes], np.int64)
         order = np.argsort(keys)
         self.keys, self.to = keys[order], np.array(list(nodes.values()), np.int64)[order]
-        self.gain = np.zeros(len(nodes) + 1, np.int64)  # 0: no piece ends here
+        self.gain = np.zeros(len(nodes) + 1, np.int64)  # 0: no piece ends here; scores are below it
         for at, score in ends.items():
-            self.gain[at] = score * STEP - 1
+            self.gain[at] = score
         self.single = np.array(sorted(ord(p) for p in self.scores if len(p) == 1))
 
     def move(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
@@ -58,11 +58,11 @@ class UnigramModel:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.to[at], -1)
 
-    def fallback(self, char: np.ndarray) -> np.ndarray:
+    def fallback(self, char: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Score and number of tokens of a character's bytes; no score where the character is a piece."""
         size = 1 + (char >= 0x80) + (char >= 0x800) + (char >= 0x10000)
-        gain = size * (self.byte_score * STEP - 1)
         at = np.minimum(np.searchsorted(self.single, char), len(self.single) - 1)
-        return np.where(self.single[at] == char, np.iinfo(np.int64).min // 2, gain)
+        return np.where(self.single[at] == char, NEVER, size * self.byte_score), size
 
     def count(self, words: list[bytes]) -> np.ndarray:
         """Tokens of each word's best segmentation."""
@@ -75,8 +75,9 @@ class UnigramModel:
         order = np.array(order, np.int64)
         alive = np.arange(len(order))  # words, in sorted order, that are longer than the level
         node = np.zeros(len(order), np.int64)  # of each alive word at the level above
-        best = np.zeros(1, np.int64)  # forward score of each node of the level above
-        at, state, base = np.zeros(2, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)  # pieces under way, by node
+        best, tokens = np.zeros(1, np.int64), np.zeros(1, np.int64)  # forward score of each node of the level above
+        # pieces under way, by node: where they are in the vocabulary, score and tokens where they began
+        at, state, base, since = np.zeros(2, np.int64), *(np.zeros(0, np.int64) for _ in range(3))
         level = 0
         while len(alive):
             char = cp[begin[alive] + level]
@@ -90,20 +91,25 @@ class UnigramModel:
             who = np.repeat(np.arange(len(first)), held)
             who = np.concatenate([who, np.arange(len(first))])
             old = np.concatenate([state[pick], np.zeros(len(first), np.int64)])
-            start = np.concatenate([base[pick], best[parent]])
+            start, held = np.concatenate([base[pick], best[parent]]), np.concatenate([since[pick], tokens[parent]])
             new = self.move(old, c[who])
-            go = new >= 0
-            who, new, start = who[go], new[go], start[go]
-            by = np.argsort(who, kind="stable")
-            who, new, start = who[by], new[by], start[by]
-            score = best[parent] + self.fallback(c)
+            go = np.flatnonzero(new >= 0)
+            go = go[np.argsort(who[go], kind="stable")]
+            who, new, start, held = who[go], new[go], start[go], held[go]
+            gain, size_ = self.fallback(c)
+            plain, spent = best[parent] + gain, tokens[parent] + size_
             ends = self.gain[new] != 0
-            np.maximum.at(score, who[ends], start[ends] + self.gain[new[ends]])
-            best, state, base = score, new, start
+            node_of, score = who[ends], start[ends] + self.gain[new[ends]]
+            best = plain.copy()
+            np.maximum.at(best, node_of, score)
+            tokens = np.where(plain == best, spent, MANY)
+            good = score == best[node_of]
+            np.minimum.at(tokens, node_of[good], held[ends][good] + 1)
+            state, base, since = new, start, held
             at = np.searchsorted(who, np.arange(len(first) + 1))
             level += 1
             done = size[alive] == level
-            counts[order[alive[done]]] = (-best[node[done]]) % STEP
+            counts[order[alive[done]]] = tokens[node[done]]
             alive, node = alive[~done], node[~done]
         return counts
 
@@ -112,14 +118,14 @@ def count_tokens(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
     """doc_id, n_words, n_tokens of each text under the model in the sentencepiece file (read on the driver, broadcast).
 
     Null, empty and wordless texts have 0 of both. Rows are counted one by one: ids may repeat or be null. Other
-    columns are not read. An empty table gives no rows. A word may have up to a million tokens.
+    columns are not read. An empty table gives no rows.
     """
     model = df.sparkSession.sparkContext.broadcast(UnigramModel(path))
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[Tokens]:
         for b in chunks(batches, "text"):
             words = split_words(*string_parts(b.column(1)))
-            yield Tokens(b.column(0), words.hashes(), words.first, lambda i, w=words: w.data[w.start[i] : w.end[i]].tobytes())
+            yield Tokens(b.column(0), *words.coded(), words.first)
 
     def emit(ids, first, number, counts):
         total = np.r_[0, np.cumsum(counts[number] if len(number) else np.zeros(0, np.int64))][first]

@@ -103,7 +103,8 @@ def test_substring_dedup_edges(spark):
     long = " ".join(f"w{i}" for i in range(200))
     rows = [(1, long), (1, long), (None, long), (3, long)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted((r.doc_id, r.n_removed) for r in dedup_substrings(df).collect()) == [(-1, 0), (1, 200), (1, 200), (3, 200)]
+    assert [r.n_removed for r in dedup_substrings(df).where("doc_id IS NULL").collect()] == [0]
+    assert sorted((r.doc_id, r.n_removed) for r in dedup_substrings(df).where("doc_id IS NOT NULL").collect()) == [(1, 0), (1, 0), (3, 200)]
     assert dedup_substrings(df.limit(0)).count() == 0
 
 
@@ -129,9 +130,9 @@ def brute_near(rows, k, percent):
     return {d: (len(sets[d]), root(d)) for d in sets}
 
 
-@pytest.mark.parametrize("shingle,percent,region", [(4, 85, 1000), (2, 40, 5)])
-def test_near_duplicates(spark, texts, shingle, percent, region):
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs(spark, texts, -9), shingle=shingle, percent=percent, region_size=region).collect()}
+@pytest.mark.parametrize("shingle,percent,block", [(4, 85, 256), (2, 40, 4)])
+def test_near_duplicates(spark, texts, shingle, percent, block):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs(spark, texts, -9), shingle=shingle, percent=percent, block=block).collect()}
     assert got == brute_near([(i - 9, t) for i, t in enumerate(texts)], shingle, percent)
     assert any(c != d for d, (_, c) in got.items())
 
@@ -139,12 +140,12 @@ def test_near_duplicates(spark, texts, shingle, percent, region):
 def test_near_duplicates_edges(spark):
     rows = [(1, "A b c d e"), (1, "A b c d e"), (2, "a b c d e"), (None, None), (4, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted((r.doc_id, r.component_id) for r in near_duplicates(df).collect()) == [(-1, -1), (1, 1), (1, 1), (2, 1), (4, 4)]
+    assert sorted(((r.doc_id, r.component_id) for r in near_duplicates(df).collect()), key=str) == [(1, 1), (1, 1), (2, 1), (4, 4), (None, None)]
     assert near_duplicates(df.limit(0)).count() == 0
 
 
-def test_metric_join_in_regions_of_many_documents():
-    from relscope.llm.ngram_join import MetricJoin
+def test_components_of_a_group():
+    from relscope.llm.ngram_join import components_of
 
     r = random.Random(5)
     base = [set(r.sample(range(4000), 60)) for _ in range(25)]
@@ -154,19 +155,121 @@ def test_metric_join_in_regions_of_many_documents():
         for _ in range(r.randint(0, 9)):
             s.discard(r.choice(sorted(s)))
             s.add(r.randrange(5000))
-        sets.append(np.array(sorted(s), np.uint64))
-    j = MetricJoin(np.concatenate(sets), np.r_[0, np.cumsum([len(s) for s in sets])], np.array([len(s) for s in sets]), 80)
-    j.join(np.arange(300))
-    got = j.forest.roots(np.arange(300))
-    want = brute_near([], 1, 80)
-    up = list(range(300))
+        sets.append(np.array(sorted(s), np.int64))
+    known = [r.randrange(3) if i < 6 else 1000 + i for i in range(300)]
+    n = np.array([len(s) for s in sets])
+    got = components_of(np.concatenate(sets), np.r_[0, np.cumsum(n)], n, np.array(known), 80, columns=100)
+    up = [known.index(k) for k in known]
     for a in range(300):
         for b in range(a):
             i = len(np.intersect1d(sets[a], sets[b]))
             if 100 * i >= 80 * (len(sets[a]) + len(sets[b]) - i):
                 x, y = sorted((up[a], up[b]))
                 up = [x if u == y else u for u in up]
-    assert want == {} and got.tolist() == up
+    assert got.tolist() == up
+
+
+def thue_morse(n):
+    """Two different texts of n letters on which sums of letters times powers of an odd number agree modulo 2**64."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def with_words(t):
+    return " ".join(f"w{i}" for i in range(60)) + " " + t
+
+
+@pytest.mark.parametrize("id_of", ["null", "real"])
+def test_missing_and_repeated_ids(spark, id_of):
+    """Rows without an id, a real -1, and one id with several texts, against brute force on rows."""
+    r = random.Random(8)
+    text = lambda k: " ".join(r.choice("abcdefghijkl") + str(r.randrange(40)) for _ in range(k))
+    t, u, v = text(100), text(100), text(80)
+    missing = None if id_of == "null" else 9
+    rows = [(missing, t), (missing, u), (-1, "zz"), (5, t), (5, u + " " + v[:200]), (7, u), (7, v), (7, v), (8, v + " " + t), (missing, "short"), (missing, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((x.doc_id, x.n_words, x.n_removed, x.kept) for x in dedup_substrings(df).collect()), key=str)
+    assert got == sorted(((d, *k) for d, k in zip([d for d, _ in rows], brute_dedup_rows(rows, 13))), key=str)
+    got = sorted(((x.doc_id, x.n_shingles, x.component_id) for x in near_duplicates(df).collect()), key=str)
+    sets = brute_near(list(enumerate(t for _, t in rows)), 5, 80)
+    least = lambda c: min((rows[i][0] for i in sets if sets[i][1] == c and rows[i][0] is not None), default=None)
+    alone = lambda i: sum(s[1] == sets[i][1] for s in sets.values()) == 1
+    assert got == sorted(((rows[i][0], sets[i][0], rows[i][0] if alone(i) else least(sets[i][1])) for i in sets), key=str)
+
+
+def brute_dedup_rows(rows, w):
+    """As brute_dedup, row by row: ids may be missing or repeat."""
+    words = [WORD.findall(t or "") for _, t in rows]
+    first = {}
+    for (d, _), x in zip(rows, words):
+        for i in range(len(x) - w + 1):
+            if d is not None:
+                k = tuple(x[i : i + w])
+                first[k] = min(first.get(k, d), d)
+    for (d, _), x in zip(rows, words):
+        gone = [False] * len(x)
+        for i in range(len(x) - w + 1):
+            if d is not None and first[tuple(x[i : i + w])] < d:
+                gone[i : i + w] = [True] * w
+        yield len(x), sum(gone), " ".join(a for a, g in zip(x, gone) if not g)
+
+
+def family(r, n, words, change):
+    """Texts that each differ from one text in the given number of words."""
+    base = [f"b{i}" for i in range(words)]
+    out = []
+    for k in range(n):
+        x = list(base)
+        for i in r.sample(range(words), change):
+            x[i] = f"e{k}_{i}"
+        out.append(" ".join(x))
+    return out
+
+
+def test_near_duplicates_in_large_regions(spark):
+    """A family whose texts resemble one another but are not linked, and one that is linked by chains: regions of many
+    blocks, cut by pivots and joined block by block."""
+    r = random.Random(4)
+    apart, linked = family(r, 260, 200, 9), family(r, 260, 200, 3)
+    texts = apart + [" ".join("c" + w for w in t.split()) for t in linked] + apart[:40]
+    want = brute_near(list(enumerate(texts)), 5, 80)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_duplicates(docs(spark, texts), block=32, pivots=4).collect()}
+    assert got == want and sum(c == i for i, (_, c) in want.items()) > 200
+
+
+def test_near_duplicates_of_a_very_large_group(spark):
+    """More than 20,000 texts in one region. Each has one word of its own, and every seventh five words, of which any
+    two are too far from one another, but not from the text without such words."""
+    n, words = 20_500, 60
+    w = lambda i: F.when(F.pmod(F.xxhash64("id", F.lit(0)), F.lit(words)) == i, F.concat(F.lit(f"x{i}_"), F.col("id"))).otherwise(F.lit(f"w{i}"))
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.when((F.col("id") % 7 == 0) & (F.pmod(F.xxhash64("id"), F.lit(words // 5)) == i % 12), F.concat(F.lit(f"y{i}_"), F.col("id"))).otherwise(w(i)) for i in range(words))).alias("text"))
+    got = near_duplicates(rows, shingle=1, percent=90).groupBy("component_id").count().where("count > 1").collect()
+    assert [(x["component_id"], x["count"]) for x in got] == [(1, n - (n + 6) // 7)]
+
+
+def test_long_words_of_two_letters(spark):
+    """Texts on which polynomial hashes collide are different words to every operator."""
+    from tokenizers import Tokenizer
+
+    a, b = thue_morse(2048)
+    rows = [with_words(a), with_words(b), a, b, a + " " + b, b[:-1] + " x"]
+    df = docs(spark, rows)
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = queries.tokenizer(name)
+        lib = Tokenizer.from_file(path)
+        assert {x.doc_id: x.ids for x in bpe.encode(df, path).collect()} == {i: lib.encode(t, add_special_tokens=False).ids for i, t in enumerate(rows)}
+        packed = collections.defaultdict(list)
+        for x in sorted(pack(df, path).collect(), key=lambda x: x.start):
+            packed[x.doc_id] += x.ids
+        assert packed == {i: [*lib.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(rows)}
+    assert {x.doc_id: (x.n_words, x.n_removed, x.kept) for x in dedup_substrings(df, window=2).collect()} == brute_dedup(list(enumerate(rows)), 2)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in near_duplicates(df, shingle=1, percent=99).collect()} == brute_near(list(enumerate(rows)), 1, 99)
+    lines = {x.doc_id: x.n_dup_lines for x in judge(docs(spark, [f"{a}\n{b}\n{a}", f"{a}\n{b}"])).collect()}
+    assert lines == {0: 1, 1: 0}
+    path = queries.tokenizer("piece_bpe_32k.model")
+    many = {x.doc_id: x.n_tokens for x in count_tokens(docs(spark, [a, b, "#" * 1_200_000]), path).collect()}
+    one = {x.doc_id: x.n_tokens for x in count_tokens(docs(spark, [b, a, "#" * 12]), path).collect()}
+    assert (many[0], many[1]) == (one[1], one[0]) and many[2] > 1 << 16
 
 
 @pytest.fixture(scope="module", params=["byte_bpe_50k.json", "word_bpe_49k.json"])
