@@ -6,15 +6,13 @@ row without a doc_id is a document of its own; a doc_id names one text. A stage'
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from relscope.checkpoint import cut, shared_folder
 from relscope.llm import quality_classifier
-from relscope.llm._components import cut
 from relscope.llm.ngram_join import near_duplicates
 from relscope.llm.packing import pack
 from relscope.llm.quality_rules import judge
@@ -44,14 +42,16 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, trained on the table labels, predicts to be good."""
+    """Documents that the quality classifier, trained on the table labels, predicts to be good, judged row by row: rows
+    may repeat or have no id; a null text counts as empty. An empty table gives an empty one."""
     ship(spark)
     scored = quality_classifier.score(docs, table(spark, sf_dir, "labels"), also=COLUMNS[1:])
     return scored.where("predicted = 1").select(*COLUMNS)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and their compression bands."""
+    """Documents that pass the base rules and their compression bands, judged row by row: rows may repeat or have no
+    id. A null, empty or short text fails the base rules. An empty table gives an empty one."""
     ship(spark)
     return judge(docs, also=COLUMNS[1:]).where("kept").select(*COLUMNS)
 
@@ -81,7 +81,8 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token sequences of all documents, with their ids."""
+    """The token sequences of all documents, with their ids. Each row is packed by itself, also a repeated one or one
+    without an id; a null or empty text is one piece of the end token. An empty table gives no sequences."""
     ship(spark)
     return pack(docs, tokenizer("word_bpe_49k.json"))
 
@@ -90,7 +91,7 @@ STAGES = [("quality_classifier", classify), ("quality_rules", rules), ("near_dup
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "relscope-checkpoints")
+    root = shared_folder(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{root}/pipeline-{uuid.uuid4().hex}-{name}"
