@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from ..checkpoint import cut
 from ._text import Words, chunks, lower_ascii, mix64, split_words, string_parts
 
 ROWS, DIM, NONZERO, REACH = 1 << 14, 64, 8, 2
@@ -147,9 +148,10 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000, context_texts: int = 4_000) -> tuple[np.ndarray, Network] | None:
     """Word vectors and network from labelled rows that are not held out, or None without any.
 
-    At most ``most_labels`` rows are used, those with the smallest hashes of doc_id, and the first ``context_texts`` of
-    them give the neighbours; both bound what the driver gathers. Null labels and ids are left out; of repeated labels
-    of a document the smallest counts.
+    At most ``most_labels`` documents are used, those with the smallest hashes of doc_id, and the first
+    ``context_texts`` of them give the neighbours; both bound what the driver gathers, as of rows that repeat a doc_id
+    one text is used (that with the smallest hash). Null labels and ids are left out; of repeated labels of a document
+    the smallest counts.
     """
     spark = docs.sparkSession
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL").where(~held_out(F.col("doc_id")))
@@ -157,7 +159,9 @@ def train(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000, context
     if not chosen:
         return None
     sample = spark.createDataFrame([(r[0], int(r[1] > 0), i < context_texts) for i, r in enumerate(chosen)], "doc_id long, y int, near boolean")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "y", "near")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    # written down: read twice, and of the sample's size
+    texts = cut(texts.groupBy("doc_id", "y", "near").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text")).select("doc_id", "text", "y", "near"))
     index = index_vectors()
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000, context
         yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()]), pa.array([counts.tobytes()])], names=["sums", "counts"])
 
     sums, counts = np.zeros((ROWS, DIM)), np.zeros(ROWS)
-    for r in texts.where("near").repartition(4, "doc_id").mapInArrow(neighbours, "sums binary, counts binary").toLocalIterator():
+    for r in texts.where("near").repartition(8, "doc_id").mapInArrow(neighbours, "sums binary, counts binary").toLocalIterator():
         sums += np.frombuffer(r["sums"], np.float32).reshape(ROWS, DIM)
         counts += np.frombuffer(r["counts"], np.int64)
     vectors = (index + sums / np.maximum(counts, 1)[:, None]).astype(np.float32)

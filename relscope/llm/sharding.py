@@ -14,14 +14,19 @@ from pyspark.sql import functions as F
 SLOT_BUCKETS = 1024
 
 
-def rendezvous(key: Column, weights: Sequence[float]) -> Column:
-    """Index of the shard that takes the key. Equal scores go to the smaller index; a null key acts as ''."""
+def scores(key: Column, weights: Sequence[float]) -> Column:
+    """For each shard a struct of the key's score there and minus its index. A null key acts as ''."""
     name = F.coalesce(key.cast("string"), F.lit(""))
-    scores = []
+    found = []
     for shard, weight in enumerate(weights):
         digits = F.conv(F.substring(F.md5(F.concat(name, F.lit(f":{shard}"))), 1, 13), 16, 10).cast("double")
-        scores.append(F.struct((F.lit(float(weight)) / -F.log((digits + 0.5) / F.lit(float(1 << 52)))).alias("score"), F.lit(-shard).alias("minus")))
-    return (-F.array_max(F.array(*scores))["minus"]).cast("int")
+        found.append(F.struct((F.lit(float(weight)) / -F.log((digits + 0.5) / F.lit(float(1 << 52)))).alias("score"), F.lit(-shard).alias("minus")))
+    return F.array(*found)
+
+
+def rendezvous(scored: Column) -> Column:
+    """Index of the shard with the largest score; equal scores go to the smaller index."""
+    return (-F.array_max(scored)["minus"]).cast("int")
 
 
 def number_within(df: DataFrame, group: str, order: Sequence[str], slot: str, buckets: int = SLOT_BUCKETS) -> DataFrame:
@@ -49,7 +54,8 @@ def shard(df: DataFrame, key: str, weights: Sequence[float], grown_weight: float
     Null keys share a shard. Repeated keys share a shard and get slots of their own. Columns of the same names as
     the new ones are replaced. An empty table gives an empty result.
     """
-    out = df.withColumn("shard", rendezvous(F.col(key), weights))
-    if grown_weight is not None:
-        out = out.withColumn("grown_shard", rendezvous(F.col(key), [*weights, grown_weight]))
+    if grown_weight is None:
+        return number_within(df.withColumn("shard", rendezvous(scores(F.col(key), weights))), "shard", [key], "slot")
+    every = scores(F.col(key), [*weights, grown_weight])  # computed once: a common subexpression
+    out = df.withColumns({"shard": rendezvous(F.slice(every, 1, len(weights))), "grown_shard": rendezvous(every)})
     return number_within(out, "shard", [key], "slot")

@@ -374,6 +374,14 @@ def test_chat_format(spark):
     assert format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_of_many_turns(spark):
+    n = 12_000
+    df = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("<s>t"), F.col("id").cast("string")).alias("text"))
+    out = format_chats(df).select("formatted", "loss", read_loss(F.col("formatted"), F.col("loss")).alias("lost")).first()
+    assert out.lost == "".join(f"<s>t{i}" for i in range(n) if i % 3) and len(out.loss) == n - n // 3
+    assert out.formatted.count("<|im_start|>") == 2 * n // 3
+
+
 def test_quality_rules(spark, texts):
     every = texts + ["a\n\na\n b \na\n", " a b c a b c\ta b", "é ü\r\né ü\r\n#<", "word " * 100, " ".join(f"{i:x}" for i in range(400))]
     got = {r.doc_id: r for r in judge(docs(spark, every)).collect()}
@@ -416,6 +424,77 @@ def test_quality_rules_at_the_end_of_a_text(spark, size, tail):
     assert kept == set(range(len(good)))
 
 
+def test_kept_against_brute_force(spark, texts):
+    import zstandard
+
+    from relscope.llm.quality_rules import BANDS, CHUNKS
+
+    r = random.Random(6)
+    vocab = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(900)]
+    prose = lambda k: " ".join(r.choice(vocab) for _ in range(k))
+    noise = lambda k: base64.b64encode(r.randbytes(k)).decode()
+    every = texts + [prose(k) for k in (60, 90, 200, 500, 1500, 4000)] + [prose(400) + " " + noise(k) for k in (100, 900, 5000)] + [prose(600) + " go on" * k for k in (60, 300, 3000)] + [prose(2000)[:n] for n in (511, 512, 2047, 2048, 4095, 8192, 8193)]
+    pack = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False)
+    ratio = lambda b: len(pack.compress(b)) / len(b) if b else 1.0
+    kept = 0
+    for x in judge(docs(spark, every)).collect():
+        raw = (every[x.doc_id] or "").encode()
+        whole = ratio(raw)
+        low, high = max((b for b in BANDS if b[0] <= len(raw)), default=(0, 0, float("inf")))[1:]
+        good = low <= whole <= high
+        chunk = max((c for c in CHUNKS if c[0] <= len(raw)), default=None)
+        parts = []
+        if chunk:
+            size = chunk[1]
+            parts = [ratio(raw[i : i + size]) for i in range(0, len(raw) - size + 1, size)] + ([ratio(raw[-size:])] if len(raw) % size else [])
+            good = good and all(chunk[2] <= p <= chunk[3] for p in parts)
+        assert (x.ratio, x.lowest_chunk, x.highest_chunk) == (whole, min(parts, default=whole), max(parts, default=whole))
+        assert x.kept == (good and not x.base_failed)
+        kept += x.kept
+    assert kept >= 6
+
+
+def test_classifier_parts_against_brute_force():
+    from relscope.llm.quality_classifier import DIM, REACH, ROWS, context_sums, fit, index_vectors, pooled
+
+    rng = np.random.default_rng(2)
+    rows, first = rng.integers(0, 40, 300).astype(np.int32), np.array([0, 0, 70, 71, 180, 300])
+    index = index_vectors()
+    want = np.zeros((5, DIM))
+    for i in range(5):
+        if first[i + 1] > first[i]:
+            want[i] = index[rows[first[i] : first[i + 1]]].mean(axis=0)
+    assert np.allclose(pooled(index, rows, first, block=37), want, atol=1e-5)
+    sums, counts = np.zeros((ROWS, DIM), np.float32), np.zeros(ROWS, np.int64)
+    context_sums(rows, first, index, sums, counts)
+    slow, n = np.zeros((ROWS, DIM)), np.zeros(ROWS)
+    for i in range(5):
+        text = rows[first[i] : first[i + 1]]
+        for a in range(len(text)):
+            for b in range(max(0, a - REACH), min(len(text), a + REACH + 1)):
+                if a != b:
+                    slow[text[a]] += index[text[b]]
+                    n[text[a]] += 1
+    assert np.allclose(sums, slow, atol=1e-3) and (counts == n).all()
+    x = rng.standard_normal((600, 6)).astype(np.float32)
+    y = (x[:, 0] + 0.5 * x[:, 1] ** 2 + 0.8 * rng.standard_normal(600) > 0.3).astype(float)
+    net = fit(x, y)
+    assert np.mean((net.scores(x) >= 0.5) == y) > 0.8
+    held = np.random.default_rng(1).permutation(600)[:120]
+    loss = lambda t: float(np.mean(-np.log(np.clip(np.where(y[held] > 0, 1 / (1 + np.exp(-net.logits(x[held]) / t)), 1 / (1 + np.exp(net.logits(x[held]) / t))), 1e-12, 1))))
+    assert all(loss(net.temperature) <= loss(t) + 1e-6 for t in np.exp(np.linspace(-1.5, 2.5, 81)))
+
+
+def test_classifier_on_repeated_labelled_rows(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(3, 0), (None, 1), (4, None)], "doc_id long, quality int")
+    good, bad = "the river ran past the old mill, and quietly the town went on", "zz zz zz 4$ %% zz zz"
+    rows = [(i, good if i % 2 else bad) for i in range(60)]
+    df = spark.createDataFrame(rows + rows[:9] * 40, "doc_id long, text string")
+    one = {r.doc_id: r.score for r in quality_classifier.score(spark.createDataFrame(rows, df.schema), labels).collect()}
+    many = {r.doc_id: r.score for r in quality_classifier.score(df, labels).collect()}
+    assert one == pytest.approx(many) and (one[1] > 0.5) != (one[2] > 0.5)
+
+
 def test_quality_classifier(spark):
     sf = "/root/testdata/sf0.01"
     out = queries.op7_quality_classifier(spark, sf)
@@ -459,6 +538,28 @@ def test_nearest_neighbours(spark):
     assert len(few) == 4
 
 
+def test_recall_on_the_embeddings_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = {r.vec_id: r.embedding for r in df.collect()}
+    ids, x = np.array(sorted(rows)), np.array([rows[i] for i in sorted(rows)], np.float64)
+    got = collections.defaultdict(set)
+    for r in queries.op9_ann(spark, "/root/testdata/sf0.1").collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in ids[ids % 20 == 0].tolist():
+        score = x @ x[ids == q][0]
+        score[ids == q] = -np.inf
+        hits += len(got[q] & set(ids[np.argsort(-score)[:20]].tolist()))
+    assert hits >= 0.98 * 20 * (ids % 20 == 0).sum()
+
+
+def test_scores_of_double_vectors(spark):
+    x = np.random.default_rng(3).standard_normal((60, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, k=5).collect():
+        assert r.score == (x[r.query_id] * x[r.vec_id]).sum()
+
+
 def test_nearest_neighbours_of_repeated_rows(spark):
     x = np.random.default_rng(1).standard_normal((400, 16)).astype(np.float32)
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
