@@ -18,7 +18,7 @@ from xxhash import xxh3_128_digest
 
 from ..checkpoint import cut
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 _U = np.uint64
 _MUL = _U(0x9E3779B97F4A7C15)

@@ -9,8 +9,8 @@ region. So the space is cut twice:
   to its first |A| - ceil(t |A|) + 1 pivots: two documents within distance 1 - t must share one of them. Shingles
   of a single document are nobody's meeting place. The smallest document at a shingle is the pivot of a region, which
   takes the documents of all shingles with that pivot: a document's regions are few, and regions do not chain.
-* Inner pivots. Two rounds compare each region's documents with a document pivot of it. A region whose documents are
-  connected then is done, as is one of three documents. Other regions of more than ``block`` documents are cut by
+* Inner pivots. A region's documents are compared with its pivot. A region whose documents are
+  connected then is done, as is one of two documents. Other regions of more than ``block`` documents are cut by
   document pivots into Voronoi cells: a document goes to its nearest pivot and, by the triangle inequality, to each one
   that is at most 2 (1 - t) further; so twice, as long as windows part a region. What is still larger is joined block
   by block, a group for each pair of blocks. So no group holds more than two blocks, and the number of rounds does not
@@ -220,8 +220,8 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     """The members of regions that are not connected by the links, each with its component."""
     named = members.join(components(links), members["row"] == F.col("node"), "left").select("region", "row", "size", F.coalesce("component", "row").alias("comp"))
-    open_ = named.groupBy("region").agg(F.min("comp").alias("low"), F.max(F.struct("comp", "row")).alias("high")).where("low < high.comp").select("region", "high")
-    return cut(named.join(open_, "region"))
+    open_ = named.groupBy("region").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("region")
+    return cut(named.join(cut(open_), "region"))
 
 
 def _cells(big: DataFrame, sets: DataFrame, percent: int, block: int, pivots: int) -> tuple[DataFrame, DataFrame]:
@@ -252,7 +252,7 @@ def _grouped(members: DataFrame, block: int) -> DataFrame:
     return placed.select(F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "row", "comp")
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, bucket_bytes: int = 8 << 20, block: int = 512, pivots: int = 8, levels: int = 2) -> DataFrame:
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, bucket_bytes: int = 4 << 20, block: int = 512, pivots: int = 8, levels: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id for each row: the size of its set of word shingles (A-Z lower-cased; fewer
     words than a shingle count as one) and the smallest doc_id reachable by links of Jaccard similarity of at least
     percent / 100.
@@ -268,19 +268,17 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     counted = docs.mapInArrow(_map(shingle, nb, nd), P.SCHEMA).groupBy("key").applyInArrow(_count(nb, nd), P.SCHEMA)
     info = cut(counted.groupBy("key").applyInArrow(_collect(percent), INFO_SCHEMA))
     near = info.where("prefix IS NOT NULL").select("row", "sig", "n", "prefix")
-    classes = near.where("sig IS NOT NULL").groupBy("sig", "n").agg(F.min("row").alias("rep"))
+    # what is joined by a key that many rows may hold is written down: AQE splits a skewed join of two plain shuffles
+    classes = cut(near.where("sig IS NOT NULL").groupBy("sig", "n").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size"))
     twins = cut(near.where("sig IS NOT NULL").join(classes, ["sig", "n"]).where("row != rep").select(F.col("row").alias("a"), F.col("rep").alias("b")))
     held = near.join(twins, near["row"] == twins["a"], "left_anti").select("row", F.explode("prefix").alias("shingle"))
     homes = held.groupBy("shingle").agg(F.min("row").alias("region"), F.count(F.lit(1)).alias("held")).where("held > 1").drop("held")
     members = cut(held.join(homes, "shingle").select("region", "row").distinct())
-    members = members.join(members.groupBy("region").agg(F.count(F.lit(1)).alias("size")), "region")
-    sets = info.where("prefix IS NOT NULL").select("row", "n", "shared")
+    members = members.join(cut(members.groupBy("region").agg(F.count(F.lit(1)).alias("size"))), "region")
+    sets = info.join(members.select("row").distinct(), "row", "left_semi").select("row", "n", "shared")
 
     links = cut(_compare(members.where("row != region").select(F.col("row").alias("a"), F.col("region").alias("b")), sets, percent))
     left = _labelled(members.where("size > 2"), links)
-    second = left.where("comp != high.comp").select(F.col("row").alias("a"), F.col("high.row").alias("b")).distinct()
-    links = cut(links.unionByName(_compare(second, sets, percent)))
-    left = _labelled(members.where("size > 3"), links).select("region", "row", "comp", "size")
     done = []
     for _ in range(levels):
         big = cut(left.where(F.col("size") > block))
@@ -301,5 +299,5 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     dealt = groups.withColumn("bucket", F.pmod(F.xxhash64("group"), F.lit(buckets))).join(sets, "row")
     found = components(dealt.groupBy("bucket").applyInArrow(_join_groups(percent), "a long, b long").unionByName(links).unionByName(twins))
     named = info.join(found, info["row"] == found["node"], "left").select("doc_id", "n", F.col("component").alias("comp"))
-    least = named.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    least = cut(named.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least")))
     return named.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))

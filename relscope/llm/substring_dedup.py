@@ -228,7 +228,7 @@ def join_words(words: Words, keep: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data.tobytes()))
 
 
-def dedup_substrings(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 13, bucket_bytes: int = 6 << 20) -> DataFrame:
+def dedup_substrings(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 13, bucket_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept: each document without the words under any run of ``window`` words whose
     sequence also starts in a document with a smaller doc_id (judged on the input).
 
