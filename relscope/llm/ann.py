@@ -1,10 +1,14 @@
 """Approximate nearest neighbours by randomly rotated one-bit codes.
 
-Vectors are centred, normalised and rotated by a random orthogonal matrix; the signs of the result are packed bits.
-For a unit vector o and its code c (a vertex of the cube, scaled to length 1) <c, q> / <c, o> estimates <o, q>
-without bias, with an error that is below e * |q| * sqrt((1 - <c, o>^2) / <c, o>^2 / (d - 1)) with high probability.
-So <x, q> = <centre, q> + |x - centre| <o, q> is estimated from bits and two numbers a vector. Those whose upper
-bound reaches the k-th largest lower bound are compared exactly, in double precision.
+Vectors are centred, normalised and rotated by random orthogonal matrices, side by side; the signs of the D resulting
+numbers are packed bits. For a unit vector o and its code c (a vertex of the cube, scaled to length 1) <c, q> / <c, o>
+estimates <o, q> without bias, with an error below e * |q| * sqrt((1 - <c, o>^2) / <c, o>^2 / (D - 1)) with high
+probability. So <x, q> = <centre, q> + |x - centre| <o, q> is estimated from bits and two numbers a vector. Those
+whose upper bound reaches the k-th largest lower bound are compared exactly, in double precision.
+
+All queries meet all codes, in blocks: blocks of queries are sent to each block of the index, so an index block is
+shuffled once, and there are as many tasks as index blocks. The work is queries x rows; only few rows are compared
+exactly. A block's vectors stay beside its codes, as fetching those that bounds leave by a join would move more.
 """
 
 from __future__ import annotations
@@ -26,35 +30,40 @@ def usable(vector: Column, dim: int) -> Column:
 
 
 class Rotation:
-    """The index's fixed part: a centre and a random orthogonal matrix."""
-
-    def __init__(self, centre: np.ndarray, seed: int = 7):
-        d = len(centre)
-        q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, d)))
-        self.turn = (q * np.sign(np.diag(r))).astype(np.float32)
+    """The index's fixed part: a centre and random orthogonal matrices side by side."""
+
+    def __init__(self, centre: np.ndarray, rotations: int = 1, seed: int = 7):
+        d, rng = len(centre), np.random.default_rng(seed)
+        turns = []
+        for _ in range(rotations):
+            q, r = np.linalg.qr(rng.standard_normal((d, d)))
+            turns.append(q * np.sign(np.diag(r)))
+        self.turn = (np.hstack(turns) / np.sqrt(rotations)).astype(np.float32)
+        self.bits = self.turn.shape[1]
         self.centre = centre.astype(np.float32)
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Packed sign bits, |x - centre| and <code, unit vector> of each row."""
-        y = x - self.centre
+        y = x.astype(np.float32) - self.centre
         norm = np.linalg.norm(y, axis=1)
         y = (y / np.maximum(norm, 1e-30)[:, None]) @ self.turn
         codes = np.packbits(y > 0, axis=1)
-        aligned = np.abs(y).sum(axis=1) / np.sqrt(x.shape[1])
+        aligned = np.abs(y).sum(axis=1) / np.sqrt(self.bits)
         return codes, norm.astype(np.float32), np.maximum(aligned, 1e-6).astype(np.float32)
 
 
 def search_block(rot: Rotation, queries: tuple[np.ndarray, np.ndarray], ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norm: np.ndarray, aligned: np.ndarray, k: int, eps: float):
     """(query id, vector id, score) of each query's k best in one block of the index."""
-    d = x.shape[1]
-    bits = np.unpackbits(codes, axis=1, count=d).astype(np.float32) * 2 - 1
-    bits /= np.float32(np.sqrt(d))
-    slack = norm * eps * np.sqrt((1 - np.minimum(aligned, 1) ** 2) / aligned**2 / max(d - 1, 1))
+    bits = np.unpackbits(codes, axis=1, count=rot.bits).astype(np.float32) * 2 - 1
+    bits /= np.float32(np.sqrt(rot.bits))
+    slack = norm * eps * np.sqrt((1 - np.minimum(aligned, 1) ** 2) / aligned**2 / max(rot.bits - 1, 1))
+    wide = x.astype(np.float64)
     out = []
     for at in range(0, len(queries[0]), 256):
-        qid, q = queries[0][at : at + 256], queries[1][at : at + 256]
-        est = (q @ rot.turn) @ bits.T * (norm / aligned) + (q @ rot.centre)[:, None]
-        err = np.linalg.norm(q, axis=1)[:, None] * slack
+        qid, q = queries[0][at : at + 256], queries[1][at : at + 256].astype(np.float64)
+        plain = q.astype(np.float32)
+        est = (plain @ rot.turn) @ bits.T * (norm / aligned) + (plain @ rot.centre)[:, None]
+        err = np.linalg.norm(plain, axis=1)[:, None] * slack
         own = qid[:, None] == ids
         low = np.where(own, -np.inf, est - err)
         most = min(k, len(ids))
@@ -62,7 +71,10 @@ def search_block(rot: Rotation, queries: tuple[np.ndarray, np.ndarray], ids: np.
         pick = (est + err >= least[:, None]) & ~own
         for i in range(len(qid)):
             c = np.flatnonzero(pick[i])
-            score = (x[c].astype(np.float64) * q[i].astype(np.float64)).sum(axis=1)
+            if len(c) > 2 * k:  # what is surely not among the best, by a fast product
+                near = wide[c] @ q[i]
+                c = c[near >= -np.partition(-near, k - 1)[k - 1] - 1e-6 * max(1.0, np.abs(near).max())]
+            score = (wide[c] * q[i]).sum(axis=1)
             best = np.lexsort((ids[c], -score))[:k]
             out.append((np.full(len(best), qid[i]), ids[c[best]], score[best]))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
@@ -79,19 +91,22 @@ def distinct_rows(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.sort(np.array(keep, np.int64))
 
 
-def nearest(df: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = 20, eps: float = 3.0, sample: int = 10_000, block_rows: int = 4096, query_rows: int = 2048) -> DataFrame:
+def nearest(df: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = 20, eps: float = 3.0, rotations: int = 4, sample: int = 10_000, block_rows: int = 4096, query_rows: int = 2048) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each query row the k rows with the largest inner products among all
     other rows, nearest first, ties to the smaller vec_id.
 
     The centre is the mean of a sample of ``sample`` vectors (those with the smallest hashes of vec_id); every row is
-    indexed. eps widens the error bounds: 3 standard deviations here. Vectors that are null, zero, not of the table's
-    most common length, or that hold null or non-finite components take no part. Rows with one vec_id and one
+    indexed. eps widens the error bounds: 3 standard deviations here; rotations are the bits a component. Vectors that
+    are null, zero, not of the table's most common length (others have no inner product with it), or that hold null or
+    non-finite components take no part. Scores are of the vectors as given: arrays of float, or else of double. Rows with one vec_id and one
     vector count once; a query skips all rows with its own id. Blocks of queries meet blocks of the index, so memory is
     bounded by a pair of blocks. An empty table gives no rows.
     """
     spark = df.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
+    narrow = df.schema[vector].dataType.simpleString() == "array<float>"
+    kind = np.float32 if narrow else np.float64
+    rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<float>" if narrow else "array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
     common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if common is None or not common["d"]:
         return empty
@@ -102,13 +117,13 @@ def nearest(df: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str
         return empty
     taken = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow()
     centre = np.asarray(taken["v"].combine_chunks().flatten()).reshape(-1, d).mean(axis=0, dtype=np.float64)
-    index = spark.sparkContext.broadcast(Rotation(centre))
+    index = spark.sparkContext.broadcast(Rotation(centre, rotations))
     blocks, query_blocks = -(-n // block_rows), -(-n_queries // query_rows)
 
     def build(table: pa.Table) -> pa.Table:
         table = table.sort_by("vec_id")
         ids = np.asarray(table["vec_id"]).astype(np.int64)
-        x = np.asarray(table["v"].combine_chunks().flatten(), np.float32).reshape(len(ids), d) + np.float32(0)  # no -0.0
+        x = np.asarray(table["v"].combine_chunks().flatten(), kind).reshape(len(ids), d) + kind(0)  # no -0.0
         keep = distinct_rows(ids, x)
         ids, x = ids[keep], x[keep]
         out = []
@@ -122,14 +137,14 @@ def nearest(df: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str
 
     data = rows.select(bucket(blocks), "vec_id", "v").groupBy("block").applyInArrow(build, BLOCK)
     asked = rows.where("q").select(bucket(query_blocks), "vec_id", "v").groupBy("block").applyInArrow(build, BLOCK)
-    asked = asked.select(F.col("block").alias("with"), F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"))
-    pairs = data.drop("block").withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).join(asked, "with")
+    asked = asked.select(F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"))
+    pairs = data.join(asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), "block").drop("block")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
                 qid, ids = np.frombuffer(r["query_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                q, x = (np.frombuffer(r[c], np.float32).reshape(-1, d) for c in ("query_vectors", "vectors"))
+                q, x = (np.frombuffer(r[c], kind).reshape(-1, d) for c in ("query_vectors", "vectors"))
                 codes = np.frombuffer(r["codes"], np.uint8).reshape(len(ids), -1)
                 found = search_block(index.value, (qid, q), ids, x, codes, np.frombuffer(r["norms"], np.float32), np.frombuffer(r["aligned"], np.float32), k, eps)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
