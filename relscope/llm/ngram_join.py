@@ -209,15 +209,15 @@ def _linked(i: Column, n: Column, m: Column, percent: int) -> Column:
     return 100 * i >= percent * (n + m - i)
 
 
-def _compare(pairs: DataFrame, sets: DataFrame, percent: int, each: int = 64) -> DataFrame:
+def _compare(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int, each: int = 64) -> DataFrame:
     """The pairs (a, b) of a row and its region's pivot that are linked; n, m: sizes of their sets, size: the region's.
 
     The sizes of the sets part many pairs before any set is moved. A pivot goes to one task for each ``each`` rows.
     """
     pairs = pairs.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
     parts = F.ceil(F.col("size") / each)
-    pivots = pairs.select("b", parts.alias("parts")).distinct().join(sets.select(F.col("row").alias("b"), F.col("shared").alias("other")), "b")
-    pivots = pivots.select("b", "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    pivots = sizes.where("size > 1").join(sets, F.col("region") == F.col("row"))
+    pivots = pivots.select(F.col("region").alias("b"), F.col("shared").alias("other"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
     left = pairs.withColumn("part", F.pmod(F.xxhash64("a"), parts)).join(sets.select(F.col("row").alias("a"), "shared"), "a")
     both = left.join(pivots, ["b", "part"])
     return both.where(_linked(F.size(F.array_intersect("shared", "other")), F.col("n"), F.col("m"), percent)).select("a", "b")
@@ -281,10 +281,11 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     homes = held.groupBy("shingle").agg(F.min(F.struct("row", "n")).alias("home"), F.count(F.lit(1)).alias("held")).where("held > 1")
     homes = homes.select("shingle", F.col("home.row").alias("region"), F.col("home.n").alias("m"))
     members = cut(held.join(homes, "shingle").select("region", "m", "row", "n").distinct())
-    members = members.join(cut(members.groupBy("region").agg(F.count(F.lit(1)).alias("size"))), "region")
+    sizes = cut(members.groupBy("region").agg(F.count(F.lit(1)).alias("size")))
+    members = members.join(sizes, "region")
     sets = info.join(members.select("row").distinct(), "row", "left_semi").select("row", "n", "shared")
 
-    links = cut(_compare(members.where("row != region").select(F.col("row").alias("a"), "n", F.col("region").alias("b"), "m", "size"), sets, percent))
+    links = cut(_compare(members.where("row != region").select(F.col("row").alias("a"), "n", F.col("region").alias("b"), "m", "size"), sizes, sets, percent))
     left = _labelled(members.where("size > 2"), links)
     done = []
     for _ in range(levels):
