@@ -160,8 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000, context
         return None
     sample = spark.createDataFrame([(r[0], int(r[1] > 0), i < context_texts) for i, r in enumerate(chosen)], "doc_id long, y int, near boolean")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
-    # written down: read twice, and of the sample's size
-    texts = cut(texts.groupBy("doc_id", "y", "near").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text")).select("doc_id", "text", "y", "near"))
+    # written down: read twice, and of the sample's size; in one order, as sums of floats depend on it
+    texts = cut(texts.groupBy("doc_id", "y", "near").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text")).select("doc_id", "text", "y", "near").sortWithinPartitions("doc_id"))
     index = index_vectors()
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000, context
         yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()]), pa.array([counts.tobytes()])], names=["sums", "counts"])
 
     sums, counts = np.zeros((ROWS, DIM)), np.zeros(ROWS)
-    for r in texts.where("near").repartition(8, "doc_id").mapInArrow(neighbours, "sums binary, counts binary").toLocalIterator():
+    for r in texts.where("near").repartition(8, "doc_id").sortWithinPartitions("doc_id").mapInArrow(neighbours, "sums binary, counts binary").toLocalIterator():
         sums += np.frombuffer(r["sums"], np.float32).reshape(ROWS, DIM)
         counts += np.frombuffer(r["counts"], np.int64)
     vectors = (index + sums / np.maximum(counts, 1)[:, None]).astype(np.float32)
