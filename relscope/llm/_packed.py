@@ -13,6 +13,8 @@ import pyarrow as pa
 import zstandard
 
 SMALL = 64  # bytes that are not worth a frame
+LEAST, MOST = 4096, 2_000_000  # entries a row should have, and those that a task may hold for it
+ZIP, UNZIP = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()  # one each: making them takes longer than a short row
 SCHEMA = "key int, kind int, docs binary, runs binary, hashes binary, extra binary, more binary"
 ARROW = pa.schema([("key", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("docs", "runs", "hashes", "extra", "more"))])
 EMPTY = pa.Table.from_batches([], ARROW)
@@ -31,14 +33,14 @@ def squeezed(x: np.ndarray) -> bytes:
     """planes(x), compressed if that is shorter; the first byte tells."""
     raw = planes(x)
     if len(raw) > SMALL:
-        small = zstandard.ZstdCompressor(level=1).compress(raw)
+        small = ZIP.compress(raw)
         if len(small) < len(raw):
             return b"\1" + small
     return b"\0" + raw
 
 
 def unsqueezed(raw: bytes, dtype) -> np.ndarray:
-    return flat(zstandard.ZstdDecompressor().decompress(raw[1:]) if raw[:1] == b"\1" else raw[1:], dtype)
+    return flat(UNZIP.decompress(raw[1:]) if raw[:1] == b"\1" else raw[1:], dtype)
 
 
 def planes_of(x: np.ndarray, width: int) -> bytes:
@@ -81,6 +83,31 @@ def pack(key: np.ndarray, doc: np.ndarray, hashes: np.ndarray, extra: np.ndarray
     return pa.Table.from_pydict(rows, ARROW).to_batches()
 
 
+class Held:
+    """Entries of several chunks of a map task, packed together: a chunk has as many rows as keys, so rows of single
+    chunks would grow in number with the square of the input, and get shorter and shorter."""
+
+    def __init__(self, keys: int, kind: int, width: int = 8):
+        self.enough, self.kind, self.width = min(MOST, LEAST * keys), kind, width
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.n = 0
+
+    def add(self, key: np.ndarray, doc: np.ndarray, hashes: np.ndarray, extra: np.ndarray) -> list[pa.RecordBatch]:
+        """Rows, as soon as there are enough entries for them."""
+        self.parts.append((key.astype(np.int32), doc, hashes, extra.astype(np.int32)))
+        self.n += len(key)
+        return self.rest() if self.n >= self.enough else []
+
+    def rest(self) -> list[pa.RecordBatch]:
+        """Rows of what is held."""
+        parts, self.parts, self.n = self.parts, [], 0
+        if not parts:
+            return []
+        columns = parts[0] if len(parts) == 1 else tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+        del parts
+        return pack(*columns, self.kind, self.width)
+
+
 def unpack(table: pa.Table, width: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents, hashes and extras of all rows, one after another."""
     doc = [np.repeat(np.cumsum(unsqueezed(d, np.int64)), unsqueezed(r, np.int32)) for d, r in zip(table["docs"].to_pylist(), table["runs"].to_pylist(), strict=True)]

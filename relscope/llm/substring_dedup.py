@@ -60,6 +60,7 @@ def _settle(key: np.ndarray, doc: np.ndarray, ref: np.ndarray, probe: np.ndarray
 
 def _anchor_map(w: int, b: int, nb: int, nd: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries, hits = P.Held(nb, ENTRIES, 4), P.Held(nd, HITS, 1)
         for batch in chunks(batches, "text"):
             words = split_words(*string_parts(batch.column(1)))
             ids = np.asarray(batch.column(0))
@@ -71,16 +72,18 @@ def _anchor_map(w: int, b: int, nb: int, nd: int):
             block = pos % b == 0
             hit, wanted, tells = _settle(h, doc, block, np.ones(len(doc), bool))
             send = ~hit | (block & ~wanted) | tells
-            yield from P.pack(((h[send] >> np.uint64(32)) % np.uint64(nb)).astype(np.int64), doc[send], h[send], pos[send], ENTRIES, 4)
-            yield from _pack_hits(doc, pos, hit, wanted, nd)
+            yield from entries.add((h[send] >> np.uint64(32)) % np.uint64(nb), doc[send], h[send], pos[send])
+            yield from hits.add(*_hits(doc, pos, hit, wanted, nd))
+        yield from entries.rest()
+        yield from hits.rest()
 
     return run
 
 
-def _pack_hits(doc, pos, hit, wanted, nd) -> list[pa.RecordBatch]:
+def _hits(doc, pos, hit, wanted, nd) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     some = hit | wanted
     role = hit[some] * PROBE + wanted[some] * REF
-    return P.pack(P.doc_group(doc[some], nd), doc[some], np.zeros(0, np.uint64) if not some.any() else role.astype(np.uint64), pos[some], HITS, 1)
+    return P.doc_group(doc[some], nd), doc[some], role.astype(np.uint64), pos[some]
 
 
 def _anchor_reduce(b: int, nd: int):
@@ -90,7 +93,7 @@ def _anchor_reduce(b: int, nd: int):
         hit, wanted, _ = _settle(h.astype(np.uint32), doc, pos % b == 0, np.ones(len(doc), bool))
         order = np.lexsort((pos[hit | wanted], doc[hit | wanted]))
         at = np.flatnonzero(hit | wanted)[order]
-        return pa.concat_tables([passed, pa.Table.from_batches(_pack_hits(doc[at], pos[at], hit[at], wanted[at], nd), P.ARROW)])
+        return pa.concat_tables([passed, pa.Table.from_batches(P.pack(*_hits(doc[at], pos[at], hit[at], wanted[at], nd), HITS, 1), P.ARROW)])
 
     return run
 
