@@ -6,9 +6,11 @@ estimates <o, q> without bias, with an error below e * |q| * sqrt((1 - <c, o>^2)
 probability. So <x, q> = <centre, q> + |x - centre| <o, q> is estimated from bits and two numbers a vector. Those
 whose upper bound reaches the k-th largest lower bound are compared exactly, in double precision.
 
-All queries meet all codes, in blocks: blocks of queries are sent to each block of the index, so an index block is
-shuffled once, and there are as many tasks as index blocks. The work is queries x rows; only few rows are compared
-exactly. A block's vectors stay beside its codes, as fetching those that bounds leave by a join would move more.
+All queries meet all codes, in blocks. Both kinds of blocks are written down once, and a task reads a few blocks of
+queries and a part of the index: queries are not copied to each block, so the disk follows the input. From block to
+block a task keeps each query's k best, whose last is a bound for the next block. The work is queries x rows; only few
+rows are compared exactly. A block's vectors stay beside its codes, as fetching those that bounds leave by a join
+would move more.
 """
 
 from __future__ import annotations
@@ -20,6 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoint import cut
+
+PARTS, PAIRS = 16, 4096  # of the index: so many at least, or as make so many pairs with blocks of queries
+TOGETHER = 8  # blocks of queries that a task takes
 BLOCK = "block int, ids binary, vectors binary, codes binary, norms binary, aligned binary"
 
 
@@ -52,32 +58,57 @@ class Rotation:
         return codes, norm.astype(np.float32), np.maximum(aligned, 1e-6).astype(np.float32)
 
 
-def search_block(rot: Rotation, queries: tuple[np.ndarray, np.ndarray], ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norm: np.ndarray, aligned: np.ndarray, k: int, eps: float):
-    """(query id, vector id, score) of each query's k best in one block of the index."""
-    bits = np.unpackbits(codes, axis=1, count=rot.bits).astype(np.float32) * 2 - 1
-    bits /= np.float32(np.sqrt(rot.bits))
-    slack = norm * eps * np.sqrt((1 - np.minimum(aligned, 1) ** 2) / aligned**2 / max(rot.bits - 1, 1))
-    wide = x.astype(np.float64)
-    out = []
-    for at in range(0, len(queries[0]), 256):
-        qid, q = queries[0][at : at + 256], queries[1][at : at + 256].astype(np.float64)
+class Best:
+    """Of a block of queries, the k best rows of each so far, nearest first, and the bound that a row must reach."""
+
+    def __init__(self, qid: np.ndarray, q: np.ndarray, k: int):
+        self.qid, self.q, self.k = qid, q.astype(np.float64), k
+        self.ids, self.scores = [np.zeros(0, np.int64)] * len(qid), [np.zeros(0)] * len(qid)
+        self.least = np.full(len(qid), -np.inf)
+
+    def add(self, i: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        ids, scores = np.concatenate((self.ids[i], ids)), np.concatenate((self.scores[i], scores))
+        best = np.lexsort((ids, -scores))[: self.k]
+        self.ids[i], self.scores[i] = ids[best], scores[best]
+        if len(best) == self.k:
+            self.least[i] = scores[best[-1]]
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query id, vector id, score)."""
+        return np.repeat(self.qid, [len(x) for x in self.ids]), np.concatenate(self.ids), np.concatenate(self.scores)
+
+
+class Codes:
+    """A block of the index, unpacked."""
+
+    def __init__(self, rot: Rotation, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norm: np.ndarray, aligned: np.ndarray, eps: float):
+        bits = np.unpackbits(codes, axis=1, count=rot.bits).astype(np.float32) * 2 - 1
+        self.bits = bits / np.float32(np.sqrt(rot.bits))
+        self.slack = norm * eps * np.sqrt((1 - np.minimum(aligned, 1) ** 2) / aligned**2 / max(rot.bits - 1, 1))
+        self.scale, self.ids, self.wide = norm / aligned, ids, x.astype(np.float64)
+
+
+def search_block(rot: Rotation, best: Best, block: Codes) -> None:
+    """The block's rows that are among a query's best."""
+    ids, k = block.ids, best.k
+    for at in range(0, len(best.qid), 256):
+        qid, q = best.qid[at : at + 256], best.q[at : at + 256]
         plain = q.astype(np.float32)
-        est = (plain @ rot.turn) @ bits.T * (norm / aligned) + (plain @ rot.centre)[:, None]
-        err = np.linalg.norm(plain, axis=1)[:, None] * slack
+        est = (plain @ rot.turn) @ block.bits.T * block.scale + (plain @ rot.centre)[:, None]
+        err = np.linalg.norm(plain, axis=1)[:, None] * block.slack
         own = qid[:, None] == ids
-        low = np.where(own, -np.inf, est - err)
-        most = min(k, len(ids))
-        least = -np.partition(-low, most - 1, axis=1)[:, most - 1]
-        pick = (est + err >= least[:, None]) & ~own
-        for i in range(len(qid)):
+        least = best.least[at : at + 256]
+        if not np.isfinite(least).all():  # fewer than k so far: the block's k-th lower bound
+            most = min(k, len(ids))
+            least = np.maximum(least, -np.partition(-np.where(own, -np.inf, est - err), most - 1, axis=1)[:, most - 1])
+        est += err
+        pick = (est >= least[:, None]) & ~own
+        for i in np.flatnonzero(pick.any(axis=1)).tolist():
             c = np.flatnonzero(pick[i])
             if len(c) > 2 * k:  # what is surely not among the best, by a fast product
-                near = wide[c] @ q[i]
+                near = block.wide[c] @ q[i]
                 c = c[near >= -np.partition(-near, k - 1)[k - 1] - 1e-6 * max(1.0, np.abs(near).max())]
-            score = (wide[c] * q[i]).sum(axis=1)
-            best = np.lexsort((ids[c], -score))[:k]
-            out.append((np.full(len(best), qid[i]), ids[c[best]], score[best]))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+            best.add(at + i, ids[c], (block.wide[c] * q[i]).sum(axis=1))
 
 
 def distinct_rows(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -100,7 +131,8 @@ def nearest(df: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str
     are null, zero, not of the table's most common length (others have no inner product with it), or that hold null or
     non-finite components take no part. Scores are of the vectors as given: arrays of float, or else of double. Rows with one vec_id and one
     vector count once; a query skips all rows with its own id. Blocks of queries meet blocks of the index, so memory is
-    bounded by a pair of blocks. An empty table gives no rows.
+    bounded by a few blocks of queries and a block of the index. Blocks are written to the checkpoint folder. An empty table
+    gives no rows.
     """
     spark = df.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -135,20 +167,30 @@ def nearest(df: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str
     def bucket(count: int) -> Column:
         return F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int").alias("block")
 
-    data = rows.select(bucket(blocks), "vec_id", "v").groupBy("block").applyInArrow(build, BLOCK)
+    data = cut(rows.select(bucket(blocks), "vec_id", "v").groupBy("block").applyInArrow(build, BLOCK))
     asked = rows.where("q").select(bucket(query_blocks), "vec_id", "v").groupBy("block").applyInArrow(build, BLOCK)
-    asked = asked.select(F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"))
-    pairs = data.join(asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), "block").drop("block")
+    asked = cut(asked.select(F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors")))
+    parts = min(2 * blocks, max(PARTS, PAIRS // query_blocks))  # empty ones would be paired too
+    pairs = data.coalesce(parts).crossJoin(asked.coalesce(-(-query_blocks // TOGETHER)).hint("shuffle_replicate_nl"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[bytes, Best] = {}
+        block, of = None, b""
         for b in batches:
-            for r in b.to_pylist():
-                qid, ids = np.frombuffer(r["query_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                q, x = (np.frombuffer(r[c], kind).reshape(-1, d) for c in ("query_vectors", "vectors"))
-                codes = np.frombuffer(r["codes"], np.uint8).reshape(len(ids), -1)
-                found = search_block(index.value, (qid, q), ids, x, codes, np.frombuffer(r["norms"], np.float32), np.frombuffer(r["aligned"], np.float32), k, eps)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(search, "query_id long, vec_id long, score double").distinct()
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            for i in range(b.num_rows):
+                r = {c: b.column(c)[i].as_py() for c in ("query_ids", "ids")}
+                if r["ids"] != of:
+                    of, ids = r["ids"], np.frombuffer(r["ids"], np.int64)
+                    x, codes, norm, aligned = (np.frombuffer(b.column(c)[i].as_py(), t) for c, t in (("vectors", kind), ("codes", np.uint8), ("norms", np.float32), ("aligned", np.float32)))
+                    block = Codes(index.value, ids, x.reshape(-1, d), codes.reshape(len(ids), -1), norm, aligned, eps)
+                q = b.column("query_vectors")[i].as_py()
+                key = r["query_ids"] + q
+                if key not in best:
+                    best[key] = Best(np.frombuffer(r["query_ids"], np.int64), np.frombuffer(q, kind).reshape(-1, d), k)
+                search_block(index.value, best[key], block)
+        for found in best.values():
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found.rows()], names=["query_id", "vec_id", "score"])
+
+    found = pairs.mapInArrow(search, "query_id long, vec_id long, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # what occurs twice has one rank
+    return found.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").distinct()

@@ -568,6 +568,34 @@ def test_nearest_neighbours_of_repeated_rows(spark):
     assert len(got) == 20 * 20 and [g[:3] for g in got] == [g[:3] for g in find(rows)]
 
 
+def test_best_rows_over_many_blocks():
+    """A query keeps its best rows from block to block, ties by id; blocks are smaller and larger than k."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(-2, 3, (1500, 16)).astype(np.float32)
+    ids = rng.permutation(1500)
+    rot = ann.Rotation(x.mean(axis=0), 4)
+    best = ann.Best(ids[:300], x[:300], 20)
+    for a, b in ((0, 7), (7, 30), (30, 900), (900, 1500)):
+        ann.search_block(rot, best, ann.Codes(rot, ids[a:b], x[a:b], *rot.encode(x[a:b]), 9.0))
+    got = list(zip(*(c.tolist() for c in best.rows()), strict=True))
+    want = []
+    for q, v in zip(ids[:300].tolist(), x[:300].astype(np.float64), strict=True):
+        score = (x * v).sum(axis=1)
+        score[ids == q] = -np.inf
+        want += [(q, int(ids[i]), score[i]) for i in np.lexsort((ids, -score))[:20]]
+    assert got == want
+
+
+def test_queries_are_not_copied_to_each_block(spark):
+    """Rows that the search returns to a shuffle follow the queries, not queries x blocks."""
+    x = np.random.default_rng(2).standard_normal((2000, 8)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").coalesce(1)
+    out = ann.nearest(df, F.col("vec_id") % 20 == 0, k=20, block_rows=10, query_rows=10)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "CartesianProduct" in plan  # before: explode(sequence(0, blocks - 1))
+    assert out.count() == 100 * 20
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as p
 
